@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary_output, exact_dedup, packing
+from . import binary_output, exact_dedup, near_join, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
+def op7_jaccard_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.near_components(_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 OP4_SQL = """
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -42,9 +46,39 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_
 """
 
 
+OP7_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), x -> x <> '') AS ws
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(ws) - 2), i -> array_to_string(ws[i:i + 3], ' '))) END AS sh
+  FROM w
+), x AS (
+  SELECT doc_id, len(sh) AS n, unnest(sh) AS h FROM s
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), e AS (
+  SELECT a AS u, b AS v FROM p UNION SELECT b, a FROM p
+), r AS (
+  SELECT u AS id, u AS seen FROM e
+  UNION
+  SELECT r.id, e.v FROM r JOIN e ON e.u = r.seen
+), c AS (
+  SELECT id, min(seen) AS root FROM r GROUP BY id
+)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, coalesce(c.root, s.doc_id) AS component_id
+FROM s LEFT JOIN c ON c.id = s.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_elias_fano, op4_grace_dedup, op5_best_fit)}
+    return {f.__name__: f for f in (op1_elias_fano, op4_grace_dedup, op5_best_fit, op7_jaccard_tiles)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_grace_dedup": OP4_SQL}
+    return {"op4_grace_dedup": OP4_SQL, "op7_jaccard_tiles": OP7_SQL}
