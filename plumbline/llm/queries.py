@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import binary_output, exact_dedup, near_join, packing
+from . import binary_output, exact_dedup, near_join, packing, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,12 @@ def op1_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.encoded(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from at most 20,000 labelled rows; ``segments`` are the significant passages."""
+    scored = toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7, most_rows=20_000)
+    return scored.withColumn("n_segments", F.size("segments").cast("long")).drop("segments")
+
+
 def op4_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -49,11 +56,11 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_
 OP7_SQL = """
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-         'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), x -> x <> '') AS ws
+         'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda x: x <> '') AS ws
   FROM documents
 ), s AS (
   SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
-         ELSE list_distinct(list_transform(range(1, len(ws) - 2), i -> array_to_string(ws[i:i + 3], ' '))) END AS sh
+         ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS sh
   FROM w
 ), x AS (
   SELECT doc_id, len(sh) AS n, unnest(sh) AS h FROM s
@@ -77,7 +84,7 @@ FROM s LEFT JOIN c ON c.id = s.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_elias_fano, op4_grace_dedup, op5_best_fit, op7_jaccard_tiles)}
+    return {f.__name__: f for f in (op1_elias_fano, op3_segments, op4_grace_dedup, op5_best_fit, op7_jaccard_tiles)}
 
 
 def oracle_sql() -> dict[str, str]:
