@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_batches, parallelism, texts_of
+from .common import column_batches, parallelism
 from .tokens import encoder
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -90,12 +90,13 @@ def pack(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
-        for batch in column_batches(batches):
+        for batch in column_batches(batches, 16 << 20):
             out: list[list] = [[], [], [], [], [], []]
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(texts_of(batch), end_id)):
+            every, ends = enc.encode_column(batch.column("text"), end_id)
+            for doc_id, first, last in zip(batch.column("doc_id").to_pylist(), [0, *ends.tolist()], ends.tolist()):
                 at = 0
-                for piece, length in enumerate(cut_lengths(len(ids), capacity)):
-                    part = ids[at : at + length].tobytes()
+                for piece, length in enumerate(cut_lengths(last - first, capacity)):
+                    part = every[first + at : first + at + length].tobytes()
                     for column, value in zip(out, (doc_id, piece, at, length, zlib.crc32(part), part)):
                         column.append(value)
                     at += length

@@ -8,6 +8,12 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: White space that touches a space or a line end, or an end of the text.
+BLANK = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+ODD = f"{BLANK}[ \n]|[ \n](?:{BLANK}|$)|^{BLANK}"
 
 
 class Encoder:
@@ -40,19 +46,17 @@ class Encoder:
         elif blank and parts[0].get("type") == "Split" and parts[0].get("behavior") == "Removed" and parts[0].get("invert"):
             self.pieces, self.mark, self.between = self._at_space, "\x01", " \x01 "
         else:
-            self.pieces = lambda text: [text]
+            self.pieces = None
         mark = self.tokenizer.encode(self.mark, add_special_tokens=False).ids if self.mark else []
         self.mark_id = mark[0] if len(mark) == 1 else None
-        self.uneven = re.compile(r" (?:\s|$)|\n(?:\s|$)|^\s|[^\S \n][ \n]")
+        self.lower = any(x.get("type") == "Lowercase" for x in steps)
         self.gap = re.compile(r" (?=\S)(?<=\S )")
 
-    def _before_space(self, text: str) -> list[str]:
-        """Pieces from the second on stand without the space before them, unless they begin with a line end."""
-        return self.gap.split(text) if self.uneven.search(text) else text.replace("\n", " \n").split(" ")
+    def _before_space(self) -> None:
+        """Pieces from a text's second on stand without the space before them, unless they begin with a line end."""
 
-    @staticmethod
-    def _at_space(text: str) -> list[str]:
-        return text.replace("\n", " ").split(" ")
+    def _at_space(self) -> None:
+        """Pieces are what stands between spaces and line ends."""
 
     def _lead(self, piece: str) -> str:
         """The piece with the space before it, where it has one."""
@@ -104,33 +108,71 @@ class Encoder:
             else:
                 self.young.update((p, data[4 * a + 4 : 4 * b]) for p, a, b in zip(group, [-1, *cuts], [*cuts, len(raw)]))
 
+    def encode_column(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids one after the other, and where each text's ids end; null counts as empty.
+
+        Arrow parts the texts and numbers the distinct pieces, so Python handles each of a batch's pieces once.
+        """
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        if self.pieces == self._before_space:
+            whole = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
+            split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        elif self.pieces == self._at_space:
+            whole = np.zeros(len(texts), dtype=bool)
+            split = pc.split_pattern(pc.replace_substring(pc.ascii_lower(texts) if self.lower else texts, "\n", " "), " ")
+        else:
+            whole = np.ones(len(texts), dtype=bool)
+            split = pc.split_pattern(texts, "\x00", max_splits=0)
+        firsts = split.offsets.to_numpy()
+        coded = split.flatten().dictionary_encode()
+        code, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        values = self._known(pieces)
+        if self.pieces != self._at_space:  # the first piece stands without a space; odd texts are done as a whole
+            plain = [x.as_py() for x in pc.list_element(split, 0)] if len(texts) else []
+            odd = [b"".join(self._odd(x.as_py())) for x in texts.filter(pa.array(whole))]
+            heads = self._whole(plain)
+            for i, ids in zip(np.flatnonzero(whole), odd):
+                heads[i] = ids
+            code[firsts[:-1]] = len(values) + np.arange(len(texts))
+            values = values + heads
+            kept = np.ones(len(code), dtype=bool)
+            for i in np.flatnonzero(whole):
+                kept[firsts[i] + 1 : firsts[i + 1]] = False
+        else:
+            kept = None
+        lengths = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) >> 2
+        starts = np.cumsum(lengths) - lengths
+        table = np.frombuffer(b"".join(values), dtype="<u4")
+        size = lengths[code] if kept is None else np.where(kept, lengths[code], 0)
+        after = np.cumsum(size)
+        ids = table[np.repeat(starts[code] - (after - size), size) + np.arange(int(after[-1]) if len(after) else 0)]
+        ends = np.concatenate([[0], after])[firsts[1:]]
+        if end is not None:
+            ids = np.insert(ids, ends, end)
+            ends = ends + np.arange(1, len(ends) + 1)
+        return ids, ends
+
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        get = self.young.get
+        got = list(map(get, pieces))
+        if None in got:
+            self._learn({p for p, x in zip(pieces, got) if x is None})
+            got = list(map(get, pieces))
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        return got
+
+    def _odd(self, text: str) -> list[bytes]:
+        """A text with neighbouring white space, parted only where that is safe."""
+        if self.pieces != self._before_space:
+            return self._whole([text])
+        first, *rest = self.gap.split(text)
+        return [*self._whole([first]), *self._known(rest)]
+
     def encode(self, texts: list[str], end: int | None = None) -> list[np.ndarray]:
         """The ids of each text as unsigned 32-bit integers, with the id ``end`` after them if given."""
-        tail = b"" if end is None else array("I", [end]).tobytes()
-        spaced = self.pieces == self._before_space
-        out: list[np.ndarray] = []
-        at = 0
-        while at < len(texts):
-            heads, parts, size = [], [], 0
-            while at < len(texts) and size < 1 << 17:
-                pieces = self.pieces(texts[at])
-                if spaced:  # the first piece has no space before it
-                    heads.append(pieces[0])
-                    pieces = pieces[1:]
-                parts.append(pieces)
-                size += len(pieces) + 1
-                at += 1
-            get = self.young.get
-            found = [list(map(get, pieces)) for pieces in parts]
-            missing = {p for pieces, got in zip(parts, found) if None in got for p, x in zip(pieces, got) if x is None}
-            if missing:
-                self._learn(missing)
-                found = [list(map(get, pieces)) if None in got else got for pieces, got in zip(parts, found)]
-            first = self._whole(heads) if spaced else [b""] * len(parts)
-            out += [np.frombuffer(head + b"".join(got) + tail, dtype="<u4") for head, got in zip(first, found)]
-            if len(self.young) > self.limit:
-                self.old, self.young = self.young, {}
-        return out
+        ids, ends = self.encode_column(pa.array(texts, pa.string()), end)
+        return np.split(ids, ends[:-1]) if len(ends) else []
 
 
 _encoders: dict[str, Encoder] = {}
