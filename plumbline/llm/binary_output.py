@@ -26,13 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column_batches, parallelism, shared_path, texts_of
+from .common import column_batches, parallelism, shared_path
 from .tokens import encoder
 
 MAGIC, HEAD = b"PLEF", struct.Struct("<4sBBBxQQQQ")
 #: Ones in each byte value.
 ONES = np.array([bin(x).count("1") for x in range(256)], dtype=np.int64)
-DOCS = "shard int, seq int, doc_ids array<bigint>, n_tokens bigint, payload binary"
+DOCS = "shard int, seq int, before bigint, doc_ids array<bigint>, n_tokens bigint, payload binary"
 
 
 def pack_ends(ends: np.ndarray) -> tuple[int, bytes, bytes]:
@@ -121,21 +121,23 @@ def write_tokens(
     ordered = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.crc32(F.coalesce("text", F.lit(""))), F.length("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, docs, ids, size, seq = encoder(tokenizer_path), [], [], 0, 0
+        enc, docs, ids, size, seq, before = encoder(tokenizer_path), [], [], 0, 0, 0
         shard = TaskContext.get().partitionId()
 
         def close() -> pa.RecordBatch:
-            cols = [pa.array([shard], pa.int32()), pa.array([seq], pa.int32()), pa.array([ids], pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays([*cols, pa.array([size], pa.int64()), pa.array([build_segment(docs)], pa.binary())], ["shard", "seq", "doc_ids", "n_tokens", "payload"])
-
-        for batch in column_batches(batches):
-            for doc_id, got in zip(batch.column("doc_id").to_pylist(), enc.encode(texts_of(batch), end_id)):
-                docs.append(got.astype("<u2") if int(got.max()) < 1 << 16 else got)
+            cols = [pa.array([shard], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([ids], pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays([*cols, pa.array([size], pa.int64()), pa.array([build_segment(docs)], pa.binary())], ["shard", "seq", "before", "doc_ids", "n_tokens", "payload"])
+
+        for batch in column_batches(batches, 16 << 20):
+            got, ends = enc.encode_column(batch.column("text"), end_id)
+            got = got.astype("<u2") if len(got) and int(got.max()) < 1 << 16 else got
+            for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), [0, *ends.tolist()], ends.tolist()):
+                docs.append(got[a:b])
                 ids.append(doc_id)
-                size += len(got)
+                size += b - a
                 if size >= segment_tokens:
                     yield close()
-                    docs, ids, size, seq = [], [], 0, seq + 1
+                    docs, ids, size, seq, before = [], [], 0, seq + 1, before + size
         if docs:
             yield close()
 
@@ -157,16 +159,12 @@ def _rank(column, cuts: list):
 def read_tokens(spark, path: str, with_ids: bool = False) -> DataFrame:
     """One row per document of the files at ``path``: doc_id, start, n_tokens, ids_crc32, and ids if asked for.
 
-    start counts the ids of all documents before it: a running sum over the segments' counts, which are one row for
-    about a million ids and are summed by shard first.
+    start counts the ids of all documents before it: a segment holds the count within its shard, and shards' totals
+    are summed up, one row for each task of the writing job.
     """
     segments = spark.read.schema(DOCS).parquet(path)
-    counts = segments.select("shard", "seq", "n_tokens")
-    shards = counts.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    # one row per shard, as many as the writing job had tasks
+    shards = segments.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     base = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
-    in_shard = counts.select("shard", "seq", (F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("seq")) - F.col("n_tokens")).alias("before"))
-    offsets = in_shard.join(F.broadcast(base), "shard").select("shard", "seq", (F.col("base") + F.col("before")).alias("first"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,8 +183,8 @@ def read_tokens(spark, path: str, with_ids: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids array<bigint>" if with_ids else "")
-    # a few hundred rows of offsets for each TB
-    return segments.join(offsets, ["shard", "seq"]).select("doc_ids", "payload", "first").mapInArrow(decode, schema)
+    based = segments.join(F.broadcast(base), "shard").select("doc_ids", "payload", (F.col("base") + F.col("before")).alias("first"))
+    return based.mapInArrow(decode, schema)
 
 
 def export(spark, path: str, to: str) -> DataFrame:
