@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_output, exact_dedup, near_join, packing, toxicity
+from . import binary_output, exact_dedup, near_join, packing, sentence_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,12 @@ def op7_jaccard_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.near_components(_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that lose sentences, and which."""
+    found = sentence_dedup.repeated_sentences(_table(spark, sf_dir, "documents"), span=3).filter(F.size("removed") > 0)
+    return found.select("doc_id", "n_sentences", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed"))
+
+
 OP4_SQL = """
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -83,9 +89,30 @@ FROM s LEFT JOIN c ON c.id = s.doc_id
 """
 
 
+OP10_SQL = """
+WITH d AS (
+  SELECT doc_id, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?]*'),
+         lambda x: trim(regexp_replace(x, '[ \t-\r]+', ' ', 'g'), ' ')), lambda x: x <> '') AS s
+  FROM documents
+), r AS (
+  SELECT doc_id, len(s) AS n, unnest(range(0, greatest(len(s) - 3, 0) + 1)) AS pos, s FROM d WHERE len(s) > 0
+), h AS (
+  SELECT doc_id, n, pos, array_to_string(s[pos + 1:pos + 3], chr(10)) AS h FROM r
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY h, n >= 3, CASE WHEN n < 3 THEN n END ORDER BY doc_id, pos) AS k FROM h
+), c AS (
+  SELECT DISTINCT doc_id, unnest(range(pos, least(pos + 3, n))) AS i FROM o WHERE k > 1
+), g AS (
+  SELECT doc_id, count(*) AS n_removed, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS removed FROM c GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(s) AS BIGINT) AS n_sentences, n_removed, removed
+FROM d JOIN g ON g.doc_id = d.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_elias_fano, op3_segments, op4_grace_dedup, op5_best_fit, op7_jaccard_tiles)}
+    return {f.__name__: f for f in (op1_elias_fano, op3_segments, op4_grace_dedup, op5_best_fit, op7_jaccard_tiles, op10_sentence_spans)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_grace_dedup": OP4_SQL, "op7_jaccard_tiles": OP7_SQL}
+    return {"op4_grace_dedup": OP4_SQL, "op7_jaccard_tiles": OP7_SQL, "op10_sentence_spans": OP10_SQL}
