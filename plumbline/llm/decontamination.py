@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -138,7 +139,7 @@ def original_places(raw: str, places: list[int]) -> list[int]:
     return [at[p] for p in places]
 
 
-_matchers: dict[int, Matcher] = {}
+_matchers: dict[str, Matcher] = {}
 
 
 def contaminated(
@@ -171,7 +172,7 @@ def contaminated(
     for block in range(blocks):
         part = query.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toArrow()
         texts = [(i, normalised(t)) for i, t in zip(part.column("item_id").to_pylist(), [x.encode() for x in part.column("text").to_pylist()])]
-        held = spark.sparkContext.broadcast((sorted(texts, key=lambda x: (x[0] is None, x[0] or 0, x[1])), rate))
+        held = spark.sparkContext.broadcast((uuid.uuid4().hex, sorted(texts, key=lambda x: (x[0] is None, x[0] or 0, x[1])), rate))
         hits = rows.mapInArrow(_search(held), HITS)
         found = hits if found is None else found.unionByName(hits)
     return found
@@ -179,10 +180,11 @@ def contaminated(
 
 def _search(held):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if held.id not in _matchers:
+        name, items, rate = held.value
+        if name not in _matchers:
             _matchers.clear()
-            _matchers[held.id] = Matcher(*held.value)
-        matcher = _matchers[held.id]
+            _matchers[name] = Matcher(items, rate)
+        matcher = _matchers[name]
         for batch in column_batches(batches):
             out = []
             for doc_id, raw in zip(batch.column("doc_id").to_pylist(), bytes_of(batch)):
