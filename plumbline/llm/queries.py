@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_output, decontamination, exact_dedup, near_join, packing, sentence_dedup, toxicity
+from . import binary_output, decontamination, exact_dedup, near_join, packing, secret_scan, sentence_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op1_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.encoded(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op2_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(_table(spark, sf_dir, "documents"), scope=200).drop("found")
+
+
 def op3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from at most 20,000 labelled rows; ``segments`` are the significant passages."""
     scored = toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7, most_rows=20_000)
@@ -116,7 +120,7 @@ FROM d JOIN g ON g.doc_id = d.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_elias_fano, op3_segments, op4_grace_dedup, op5_best_fit, op7_jaccard_tiles, op8_edit_matches, op10_sentence_spans)}
+    return {f.__name__: f for f in (op1_elias_fano, op2_linked_secrets, op3_segments, op4_grace_dedup, op5_best_fit, op7_jaccard_tiles, op8_edit_matches, op10_sentence_spans)}
 
 
 def oracle_sql() -> dict[str, str]:
