@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_output, decontamination, exact_dedup, near_join, packing, secret_scan, sentence_dedup, toxicity
+from . import binary_output, decontamination, exact_dedup, near_join, packing, sanitise, secret_scan, sentence_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op8_edit_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), rate=0.08)
 
 
+def op9_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.disclosures(_table(spark, sf_dir, "documents")).drop("found")
+
+
 def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that lose sentences, and which."""
     found = sentence_dedup.repeated_sentences(_table(spark, sf_dir, "documents"), span=3).filter(F.size("removed") > 0)
@@ -120,7 +124,7 @@ FROM d JOIN g ON g.doc_id = d.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_elias_fano, op2_linked_secrets, op3_segments, op4_grace_dedup, op5_best_fit, op7_jaccard_tiles, op8_edit_matches, op10_sentence_spans)}
+    return {f.__name__: f for f in (op1_elias_fano, op2_linked_secrets, op3_segments, op4_grace_dedup, op5_best_fit, op7_jaccard_tiles, op8_edit_matches, op9_disclosure, op10_sentence_spans)}
 
 
 def oracle_sql() -> dict[str, str]:
