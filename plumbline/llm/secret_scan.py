@@ -1,8 +1,8 @@
 """Secret scan with multipart credential linking, in DataFrame functions alone.
 
-Strong parts (assignments, access identifiers, hex strings) are always reported. Weak ones (user names, opaque strings,
-addresses) are reported only when the parts that would make them usable stand within the same scope: a user name next
-to a secret, an opaque string next to an identifier, an address next to both. Parts become rows, and an interval join
+Strong parts (assignments, access identifiers, hex strings) are always reported. Weak ones (user names, mail
+addresses, opaque strings, endpoints) are reported only when the parts that would make them usable stand within the same scope: a user name next
+to a secret, an opaque string next to an identifier, an endpoint next to both. Parts become rows, and an interval join
 on scope-sized bins finds each weak part's neighbours; bins are summed up first, so their number of parts has no say in
 the number of joined rows.
 """
@@ -21,7 +21,8 @@ KINDS: dict[str, tuple] = {
     "access": ("id", True, r"AKIA[A-Z0-9]+", 2, 16, r"AKIA[A-Z0-9]"),
     "hex": ("secret", True, r"[0-9a-f]+", 2, 32, r"[0-9a-f]{32}"),
     "user": ("id", False, r"""(?i:user(?:name)?|login|client_?id|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@_.-]{3,}""", 2, 1, r"""(?i:user|name|login|client_?id|account)["']?\x20*[:=]"""),
-    "blob": ("secret", False, r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{24,}={0,2}", 2, 24, r"[A-Za-z0-9+/_-]{24}"),
+    "mail": ("id", False, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", 2, 6, "@"),
+    "blob": ("secret", False, r"(?<![A-Za-z0-9+/_-])(?![0-9a-f]++(?![A-Za-z0-9+/_-]))(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{24,}={0,2}", 2, 24, r"[A-Za-z0-9+/_-]{24}"),
     "url": ("endpoint", False, r"[a-z][a-z0-9+.-]{1,15}://[^\x20\x09-\x0D\"'<>]+", 2, 8, r"://"),
 }
 ORDER = list(KINDS)
@@ -49,7 +50,7 @@ def _matches(text: Column, kind: str) -> Column:
             (F.length(x["x2" if group > 2 else "x1"]) >= least).alias("fits"),
         ),
     )
-    quick = text.contains(test) if test == "://" else text.rlike(test)
+    quick = text.contains(test) if test in ("://", "@") else text.rlike(test)
     return F.when(quick, rows).otherwise(F.array().cast("array<struct<kind:string,at:int,gap:int,size:int,fits:boolean>>"))
 
 
@@ -71,7 +72,12 @@ def linked(found: DataFrame, scope: int) -> DataFrame:
     real = found.filter("kind is not null").select("row", "doc_id", "kind", "start", "end", role.alias("role"), F.floor(F.col("start") / scope).alias("bin"))
     bins = real.filter("role != 'endpoint'").groupBy("row", "bin", "role").agg(F.min("start").alias("lo"), F.max("start").alias("hi"))
     near = bins.select("row", "role", "lo", "hi", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin")).withColumnRenamed("role", "other")
-    weak = real.filter(~F.col("kind").isin([k for k, v in KINDS.items() if v[1]]))
+    strong = F.col("kind").isin([k for k, v in KINDS.items() if v[1]])
+    taken = real.filter(strong).select("row", F.explode(F.sequence("bin", F.floor((F.col("end") - 1) / scope))).alias("bin"), F.col("start").alias("s"), F.col("end").alias("e"))
+    weak = real.filter(~strong)
+    spread = weak.select("row", "kind", "start", "end", F.explode(F.sequence("bin", F.floor((F.col("end") - 1) / scope))).alias("bin"))
+    inner = spread.join(taken, ["row", "bin"]).filter("start < e and s < end").select("row", "kind", "start").distinct()
+    weak = weak.join(inner, ["row", "kind", "start"], "left_anti")  # what a strong part covers is known
     inside = (F.col("lo") - F.col("start") <= scope) & (F.col("start") - F.col("hi") <= scope)
     met = weak.join(near, ["row", "bin"]).filter(inside).groupBy("row", "doc_id", "kind", "start", "end", "role").agg(F.collect_set("other").alias("others"))
     has = lambda x: F.array_contains("others", x)
