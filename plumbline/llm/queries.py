@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_output, decontamination, exact_dedup, near_join, packing, sanitise, secret_scan, sentence_dedup, toxicity
+from . import binary_output, class_lm, decontamination, exact_dedup, near_join, packing, sanitise, secret_scan, sentence_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
+def op6_class_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.class_scores(_table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.near_components(_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
@@ -124,7 +128,7 @@ FROM d JOIN g ON g.doc_id = d.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_elias_fano, op2_linked_secrets, op3_segments, op4_grace_dedup, op5_best_fit, op7_jaccard_tiles, op8_edit_matches, op9_disclosure, op10_sentence_spans)}
+    return {f.__name__: f for f in (op1_elias_fano, op2_linked_secrets, op3_segments, op4_grace_dedup, op5_best_fit, op6_class_bigrams, op7_jaccard_tiles, op8_edit_matches, op9_disclosure, op10_sentence_spans)}
 
 
 def oracle_sql() -> dict[str, str]:
