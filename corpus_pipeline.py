@@ -1,24 +1,66 @@
-"""The corpus pipeline: stages in order, each written as Parquet and reread as the next one's documents."""
+"""The corpus pipeline: stages in order, each written as Parquet and reread as the next one's documents.
+
+Every stage works on all that its predecessor kept. All but the last return rows of ``documents`` with all their
+columns; the last returns the packed pieces of what is left.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import common, exact_dedup
+from plumbline.llm import common, decontamination, exact_dedup, near_join, packing, toxicity
 
-#: Python stages decide from learned scores and packed token ids, which SQL can't express.
+#: Learned scores and packed token ids are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id isn't in ``ids``; rows without one stay."""
+    return docs.join(ids.select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.7 or more go; labels come from the ``labels`` table beside the documents."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity.toxicity(docs, labels, threshold=0.7, most_rows=20_000)
+    return _without(docs, scored.filter("predicted = 1"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts stays."""
     return exact_dedup.exact_keep(docs)
 
 
-STAGES = [("exact dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, the one with the smallest id; five words and a similarity of 0.8."""
+    found = near_join.near_components(docs, k=5, num=80, den=100)
+    return _without(docs, found.filter("component_id <> doc_id"))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _without(docs, decontamination.contaminated(docs, items, rate=0.08))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of what is left, in sequences of at most 1024 tokens."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+
+
+STAGES = [
+    ("toxicity", toxic),
+    ("exact dedup", exact),
+    ("n-gram Jaccard join", near),
+    ("benchmark decontamination", decontaminated),
+    ("best-fit packing", packed),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = common.staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = common.staged(stage(spark, docs, sf_dir), "".join(c if c.isalnum() else "-" for c in name))
     return docs
