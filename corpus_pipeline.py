@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from plumbline.llm import common, decontamination, exact_dedup, near_join, packing, toxicity
 
@@ -16,16 +15,10 @@ from plumbline.llm import common, decontamination, exact_dedup, near_join, packi
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id isn't in ``ids``; rows without one stay."""
-    return docs.join(ids.select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
-
-
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.7 or more go; labels come from the ``labels`` table beside the documents."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.toxicity(docs, labels, threshold=0.7, most_rows=20_000)
-    return _without(docs, scored.filter("predicted = 1"))
+    return toxicity.acceptable(docs, labels, threshold=0.7, most_rows=20_000)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,13 +29,13 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the smallest id; five words and a similarity of 0.8."""
     found = near_join.near_components(docs, k=5, num=80, den=100)
-    return _without(docs, found.filter("component_id <> doc_id"))
+    return common.without_ids(docs, found.filter("component_id <> doc_id"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontamination.contaminated(docs, items, rate=0.08))
+    return decontamination.clean(docs, items, rate=0.08)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

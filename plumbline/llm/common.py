@@ -8,7 +8,9 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,3 +130,69 @@ def skew_safe_join(facts: DataFrame, groups: DataFrame, key: str, weight: str, t
     warm = marked.filter(F.col("_hot").isNotNull()).drop("_hot").join(F.broadcast(hot), key, "inner")
     cold = marked.filter(F.col("_hot").isNull()).drop("_hot").join(groups.filter(F.col(weight) <= least), key, "left")
     return cold.unionByName(warm)
+
+
+MARKS = 1 << 26
+MULT = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mark_places(ids: np.ndarray) -> list[np.ndarray]:
+    with np.errstate(over="ignore"):
+        x = ids.astype(np.uint64) * MULT
+    return [(x >> np.uint64(38)) % np.uint64(MARKS), (x >> np.uint64(11)) % np.uint64(MARKS)]
+
+
+def id_marks(ids: DataFrame, column: str = "doc_id") -> np.ndarray:
+    """A bitmap of fixed size (8 MB) in which two hashed places of each id are set, gathered without nulls."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(np.concatenate(_mark_places(batch.column(0).to_numpy())))
+            bits = pa.array(np.uint64(1) << (at & np.uint64(63))).view(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), bits], ["word", "bits"])
+
+    known = ids.select(F.col(column).cast("long").alias("id")).filter("id is not null")
+    # at most MARKS / 64 rows reach the driver
+    words = known.mapInArrow(partial, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    marks = np.zeros(MARKS // 64, dtype=np.int64)
+    marks[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return marks.view(np.uint64)
+
+
+def marked(ids: pa.Array, marks: np.ndarray) -> np.ndarray:
+    """Which ids may be among those that were marked; a null isn't."""
+    fit = pc.is_valid(ids).to_numpy(zero_copy_only=False)
+    for at in _mark_places(pc.fill_null(ids, 0).to_numpy()):
+        fit &= (marks[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return fit
+
+
+def without_ids(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``df``, with all columns, whose id isn't in ``ids``; rows without an id stay.
+
+    Hashed marks of the ids let most rows stay where they are; only those that match go through a join.
+    """
+    held = df.sparkSession.sparkContext.broadcast(id_marks(ids, id_col))
+    place = df.columns.index(id_col)
+
+    def part(wanted: bool):
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(marked(batch.column(place).cast(pa.int64()), held.value) == wanted))
+
+        return df.mapInArrow(rows, df.schema)
+
+    gone = ids.select(F.col(id_col).alias("_gone")).filter("_gone is not null").distinct()
+    return part(False).unionByName(part(True).join(gone, F.col(id_col) == F.col("_gone"), "left_anti"))
+
+
+def rows_where(df: DataFrame, text_col: str, keep: Callable[[list[bytes]], list[bool]]) -> DataFrame:
+    """The rows of ``df``, with all columns, for whose texts ``keep`` says so; null counts as empty."""
+    place = df.columns.index(text_col)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in column_batches(batches):
+            texts = [x or b"" for x in batch.column(place).cast(pa.binary()).to_pylist()]
+            yield batch.filter(pa.array(keep(texts), pa.bool_()))
+
+    return df.mapInArrow(rows, df.schema)

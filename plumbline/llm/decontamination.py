@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, bytes_of, column_batches
+from .common import LOWER, bytes_of, column_batches, rows_where
 
 HITS = "doc_id bigint, item_id bigint, distance int, start bigint, end bigint"
 
@@ -163,28 +163,50 @@ def contaminated(
     Items are a query set: blocks of about ``block_bytes`` of them, in as many scans as there are blocks, are sent to
     the tasks and searched in all whole texts.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    query = items.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).filter("text is not null").distinct()
-    size = query.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = size // block_bytes + 1
     found = None
-    for block in range(blocks):
-        part = query.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toArrow()
-        texts = [(i, normalised(t)) for i, t in zip(part.column("item_id").to_pylist(), [x.encode() for x in part.column("text").to_pylist()])]
-        held = spark.sparkContext.broadcast((uuid.uuid4().hex, sorted(texts, key=lambda x: (x[0] is None, x[0] or 0, x[1])), rate))
+    for held in _blocks(items, rate, block_bytes, item_id_col, item_text_col):
         hits = rows.mapInArrow(_search(held), HITS)
         found = hits if found is None else found.unionByName(hits)
     return found
 
 
+def _blocks(items: DataFrame, rate: float, block_bytes: int, item_id_col: str, item_text_col: str) -> Iterator:
+    """Broadcasts of the items, in blocks of about ``block_bytes``."""
+    query = items.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).filter("text is not null").distinct()
+    size = query.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = size // block_bytes + 1
+    for block in range(blocks):
+        part = query.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toArrow().to_pylist()
+        texts = [(x["item_id"], normalised(x["text"].encode())) for x in part]
+        texts.sort(key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        yield items.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, texts, rate))
+
+
+def _matcher(held) -> Matcher:
+    """The matcher of this worker process for a block."""
+    name, items, rate = held.value
+    if name not in _matchers:
+        _matchers.clear()
+        _matchers[name] = Matcher(items, rate)
+    return _matchers[name]
+
+
+def clean(docs: DataFrame, items: DataFrame, rate: float = 0.08, block_bytes: int = 2 << 20, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, that hold no item."""
+    for held in _blocks(items, rate, block_bytes, item_id_col, item_text_col):
+
+        def keep(texts: list[bytes], held=held) -> list[bool]:
+            matcher = _matcher(held)
+            return [not matcher.find(normalised(t)) for t in texts]
+
+        docs = rows_where(docs, text_col, keep)
+    return docs
+
+
 def _search(held):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, items, rate = held.value
-        if name not in _matchers:
-            _matchers.clear()
-            _matchers[name] = Matcher(items, rate)
-        matcher = _matchers[name]
+        matcher = _matcher(held)
         for batch in column_batches(batches):
             out = []
             for doc_id, raw in zip(batch.column("doc_id").to_pylist(), bytes_of(batch)):

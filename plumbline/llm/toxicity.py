@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_batches, crc_mod_column, texts_of
+from .common import column_batches, crc_mod_column, rows_where, texts_of
 
 WORD = re.compile(r"[^\W_]+")
 PREFIXES = (3, 4, 5, 6)
@@ -275,3 +275,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most_ro
     held_out = crc_mod_column("doc_id", 3) == 1
     scored = segment_rows(docs, model)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "segments")
+
+
+def acceptable(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most_rows: int = 20_000, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, that :func:`toxicity` doesn't predict as toxic."""
+    held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, most_rows, text_col=text_col, train=crc_mod_column("doc_id", 3) != 1))
+
+    def keep(texts: list[bytes]) -> list[bool]:
+        m, out = held.value, []
+        for text in texts:
+            pieces = text.decode("utf-8", "replace").split()
+            out.append(m.probability(m.describe(m.segments(pieces), len(pieces))) < threshold)
+        return out
+
+    return rows_where(docs, text_col, keep)
