@@ -7,7 +7,8 @@ concerns the cost). A tile is one such shingle and band:
 
 1. every node of a tile is compared with the tile's leader and leaders with those of the next band, which unites large
    groups of copies with a number of comparisons linear in their members;
-2. then all nodes of neighbouring tiles that aren't connected yet are compared with each other, so no link between
+2. what isn't connected by then is compared with two random members of each of its tiles;
+3. then all nodes of neighbouring tiles that aren't connected yet are compared with each other, so no link between
    different components is lost.
 
 A comparison first bounds the overlap from above by the bit counts of hashed bitmaps, and what passes is decided by
@@ -22,16 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, bytes_of, column_batches, crc_mod_column, cut, parallelism, skew_safe_join
+from .common import LOWER, bytes_of, column_batches, crc_mod_column, cut, id_marks, marked, parallelism, skew_safe_join
 from .graph import components
 
 MULT = np.uint64(0x9E3779B97F4A7C15)
-BITS = 1024
 
 
 class Shingler:
@@ -83,8 +82,12 @@ def band_of(n: int, num: int, den: int) -> int:
 
 
 def bitmap(values: np.ndarray) -> np.ndarray:
-    """Parities of the shingles that fall on each of BITS places."""
-    counts = np.bincount((values >> np.uint64(7)).astype(np.int64) % BITS, minlength=BITS)
+    """Parities of the shingles that fall on each of a power of two places, at least two for a shingle.
+
+    The larger of two widths folds to the smaller one by exclusive or of its halves.
+    """
+    width = 1 << min(16, max(8, (2 * len(values) - 1).bit_length()))
+    counts = np.bincount((values >> np.uint64(7)).astype(np.int64) & (width - 1), minlength=width)
     return np.packbits((counts & 1).astype(np.uint8))
 
 
@@ -93,7 +96,9 @@ def node_of(values: np.ndarray) -> tuple[int, bytes]:
     return int.from_bytes(digest[:8], "little", signed=True), digest
 
 
-FACTS = "doc_id bigint, n bigint, node bigint, digest binary, band int, prefix array<bigint>"
+#: Nodes of a shingle up to which their pairs are handed on without a look at the bitmaps.
+SMALL = 32
+FACTS = "doc_id bigint, n bigint, node bigint, digest binary, band int, bits binary, prefix array<bigint>"
 
 
 def _hot_shingles(rows: DataFrame, k: int, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
@@ -125,25 +130,27 @@ def _facts(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
         make, seen = Shingler(k), set()
         hashes, counts = hot.value
         for batch in column_batches(batches):
-            ns, nodes, digests, bands, prefixes = [], [], [], [], []
+            ns, nodes, digests, bands, bits, prefixes = [], [], [], [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), bytes_of(batch)):
                 values = make(text)
                 n = len(values)
                 node, digest = node_of(values) if n else (None, None)
-                prefix = None
+                prefix = signature = None
                 if n and doc_id is not None and digest not in seen:
                     seen.add(digest)
                     prefix = _prefix(values, prefix_length(n, num, den), hashes, counts)
+                    signature = bitmap(values).tobytes()
                 ns.append(n)
                 nodes.append(node)
                 digests.append(digest)
                 bands.append(band_of(n, num, den) if n else None)
+                bits.append(signature)
                 prefixes.append(prefix)
             if len(seen) > 200_000:
                 seen.clear()
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64())]
-            columns = [pa.array(c, t) for c, t in zip((ns, nodes, digests, bands, prefixes), kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n", "node", "digest", "band", "prefix"])
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+            columns = [pa.array(c, t) for c, t in zip((ns, nodes, digests, bands, bits, prefixes), kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n", "node", "digest", "band", "bits", "prefix"])
 
     return cut(rows.mapInArrow(facts, FACTS))
 
@@ -195,13 +202,29 @@ def _tiles(out: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["h", "band", "node", "lead"])
 
 
-def _unconnected(batches: Iterator[pa.RecordBatch], tile: int = 512) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (h, band): pairs of nodes of neighbouring bands that lie in different components."""
+def _folded(bits: list[bytes], width: int) -> np.ndarray:
+    """Bitmaps as rows of 64-bit words, folded to ``width`` bytes."""
+    out = np.empty((len(bits), width // 8), dtype=np.uint64)
+    for i, x in enumerate(bits):
+        row = np.frombuffer(x, np.uint64)
+        while len(row) * 8 > width:
+            row = row[: len(row) // 2] ^ row[len(row) // 2 :]
+        out[i] = row
+    return out
+
+
+def _unconnected(num: int, den: int, tile: int = 256):
+    """From rows sorted by (h, band): pairs of nodes of neighbouring bands that lie in different components.
 
-    def pairs(run: list[tuple]) -> Iterator[pa.RecordBatch]:
-        band, node, comp = (np.array(c, dtype=np.int64) for c in zip(*run))
+    Runs of more than SMALL nodes come with sizes and bitmaps, and only pairs within their bounds are handed on.
+    """
+
+    def tested(run: list[tuple]) -> Iterator[pa.RecordBatch]:
+        band, node, comp, n = (np.array(c, dtype=np.int64) for c in list(zip(*run))[:4])
+        bits = [x[4] for x in run]
         if (comp == comp[0]).all():
             return
+        bounded = bits[0] is not None
         for i in range(0, len(node), tile):
             for j in range(i, len(node), tile):
                 if band[j] > band[min(i + tile, len(node)) - 1] + 1:
@@ -210,80 +233,64 @@ def _unconnected(batches: Iterator[pa.RecordBatch], tile: int = 512) -> Iterator
                 fit = (comp[a, None] != comp[None, b]) & (np.abs(band[a, None] - band[None, b]) <= 1)
                 if i == j:
                     fit &= np.tri(*fit.shape, k=-1, dtype=bool).T
+                if bounded and fit.any():
+                    width = min(map(len, bits[a] + bits[b]))
+                    x, y = _folded(bits[a], width), _folded(bits[b], width)
+                    apart = np.zeros(fit.shape, dtype=np.int64)
+                    for word in range(width // 8):
+                        apart += np.bitwise_count(x[:, None, word] ^ y[None, :, word])
+                    both = n[a, None] + n[None, b]
+                    overlap = np.minimum((both - apart) // 2, np.minimum(n[a, None], n[None, b]))
+                    fit &= den * overlap >= num * (both - overlap)
                 x, y = np.nonzero(fit)
                 if len(x):
                     left, right = node[a][x], node[b][y]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], ["a", "b"])
 
-    h0, run = None, []
-    for batch in batches:
-        for h, *row in zip(*(batch.column(c).to_pylist() for c in ("h", "band", "node", "comp"))):
-            if h != h0:
-                if len(run) > 1:
-                    yield from pairs(run)
-                h0, run = h, []
-            run.append(row)
-    if len(run) > 1:
-        yield from pairs(run)
-
-
-BLOOM_BITS = 1 << 26
-
-
-def _marks(ids: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size (8 MB) in which two hashed places of each id are set."""
-
-    def places(values: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            x = values.astype(np.uint64) * MULT
-        return np.concatenate([(x >> np.uint64(38)) % np.uint64(BLOOM_BITS), (x >> np.uint64(11)) % np.uint64(BLOOM_BITS)])
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h0, run = None, []
         for batch in batches:
-            at = np.unique(places(batch.column("doc_id").to_numpy()))
-            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array(np.uint64(1) << (at & np.uint64(63))).view(pa.int64())], ["word", "bits"])
+            for h, *row in zip(*(batch.column(c).to_pylist() for c in ("h", "band", "node", "comp", "n", "bits"))):
+                if h != h0:
+                    if len(run) > 1:
+                        yield from tested(run)
+                    h0, run = h, []
+                run.append(row)
+        if len(run) > 1:
+            yield from tested(run)
 
-    # at most BLOOM_BITS / 64 rows reach the driver
-    words = ids.mapInArrow(partial, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    marks = np.zeros(BLOOM_BITS // 64, dtype=np.int64)
-    marks[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    return marks.view(np.uint64)
+    return pairs
 
 
-def _sets(rows: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """Size, bitmap and array of the documents in ``ids`` (and of a few others that its hashed marks let through)."""
-    marks = rows.sparkSession.sparkContext.broadcast(_marks(ids))
+def _arrays(rows: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(node, hashes) of the documents in ``ids`` (and of a few others that its hashed marks let through)."""
+    marks = rows.sparkSession.sparkContext.broadcast(id_marks(ids))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, bits = Shingler(k), marks.value
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = Shingler(k)
         for batch in batches:
-            batch = batch.filter(pc.is_valid(batch.column("doc_id")))
-            with np.errstate(over="ignore"):
-                x = batch.column("doc_id").to_numpy().astype(np.uint64) * MULT
-            fit = np.ones(len(x), dtype=bool)
-            for shift in (38, 11):
-                at = (x >> np.uint64(shift)) % np.uint64(BLOOM_BITS)
-                fit &= (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+            fit = marked(batch.column("doc_id"), marks.value)
             for part in column_batches([batch.filter(pa.array(fit))]):
                 found = [v for v in map(make, bytes_of(part)) if len(v)]
-                nodes = [node_of(v)[0] for v in found]
-                columns = [pa.array(nodes, pa.int64()), pa.array([len(v) for v in found], pa.int64()), pa.array([bitmap(v).tobytes() for v in found], pa.binary()), pa.array([v.tobytes() for v in found], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "n", "bits", "hashes"])
+                columns = [pa.array([node_of(v)[0] for v in found], pa.int64()), pa.array([v.tobytes() for v in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "hashes"])
 
-    return rows.mapInArrow(sets, "node bigint, n bigint, bits binary, hashes binary")
+    return rows.mapInArrow(arrays, "node bigint, hashes binary")
 
 
 def _bounded(num: int, den: int):
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(na), -1) for c in ("xa", "xb")]
-            apart = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
-            overlap = np.minimum((na + nb - apart) // 2, np.minimum(na, nb))
-            fit = pa.array(den * overlap >= num * (na + nb - overlap))
-            yield batch.filter(fit).select(["a", "b"])
+        for batch in column_batches(batches):
+            fit = []
+            for na, nb, xa, xb in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "xa", "xb"))):
+                x, y = np.frombuffer(xa, np.uint64), np.frombuffer(xb, np.uint64)
+                while len(x) > len(y):
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                while len(y) > len(x):
+                    y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+                overlap = min((na + nb - int(np.bitwise_count(x ^ y).sum())) // 2, na, nb)
+                fit.append(den * overlap >= num * (na + nb - overlap))
+            yield batch.filter(pa.array(fit)).select(["a", "b"])
 
     return check
 
@@ -303,17 +310,26 @@ def _intersected(num: int, den: int):
     return check
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
-    small = sets.select("node", "n", "bits")
-    seen = pairs.join(small.toDF("a", "na", "xa"), "a").join(small.toDF("b", "nb", "xb"), "b")
-    close = seen.filter((den * F.least("na", "nb") >= num * F.greatest("na", "nb")))
+def _verified(pairs: DataFrame, sizes: DataFrame, nodes: DataFrame, rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold; arrays are made of those alone that pass the bounds."""
+    seen = pairs.join(sizes.toDF("a", "na", "xa"), "a").join(sizes.toDF("b", "nb", "xb"), "b")
+    close = seen.filter(den * F.least("na", "nb") >= num * F.greatest("na", "nb"))
     left = cut(close.mapInArrow(_bounded(num, den), "a bigint, b bigint"))
-    arrays = sets.select("node", "hashes")
+    met = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
+    ids = met.join(nodes, "node").select(F.col("rep").alias("doc_id"))
+    arrays = cut(_arrays(rows, ids, k).join(met, "node", "left_semi").dropDuplicates(["node"]))
     both = left.join(arrays.toDF("b", "hb"), "b").join(arrays.toDF("a", "ha"), "a")
     return cut(both.mapInArrow(_intersected(num, den), "a bigint, b bigint"))
 
 
+def _mixed(runs: DataFrame, links: DataFrame) -> DataFrame:
+    """The tiles' rows with their components, of shingles that more than one component has."""
+    roots = components(links, "a", "b").toDF("node", "root")
+    marked = runs.join(roots, "node", "left").select("h", "band", "node", F.coalesce("root", "node").alias("comp"))
+    several = marked.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).filter("c0 != c1")
+    return marked.join(several.select("h", "size"), "h")
+
+
 def near_components(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``df``: doc_id, n_shingles, component_id.
 
@@ -335,17 +351,27 @@ def near_components(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id
     dealt = tiles.repartition(parallelism(df.sparkSession), F.col("h")).sortWithinPartitions("h", "band", "node")
     runs = cut(dealt.mapInArrow(_leaders, "h bigint, band int, node bigint, lead bigint"))
 
-    stars = runs.filter("node != lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-    met = runs.select("node").distinct()
-    sets = cut(_sets(rows, met.join(nodes, "node").select(F.col("rep").alias("doc_id")), k).join(met, "node", "left_semi").dropDuplicates(["node"]))
-    links = _verified(stars, sets, num, den)
-
-    roots = components(links, "a", "b").toDF("node", "root")
-    marked = runs.select("h", "band", "node").join(roots, "node", "left").select("h", "band", "node", F.coalesce("root", "node").alias("comp"))
-    mixed = marked.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1").select("h")
-    open_runs = marked.join(mixed, "h", "left_semi").repartition(parallelism(df.sparkSession), F.col("h")).sortWithinPartitions("h", "band", "node")
-    rest = open_runs.mapInArrow(_unconnected, "a bigint, b bigint").distinct().join(stars, ["a", "b"], "left_anti")
-    links = links.unionByName(_verified(rest, sets, num, den))
+    stars = cut(runs.filter("node != lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct())
+    sizes = full.filter("prefix is not null").join(runs.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "n", "bits")
+    sizes = cut(sizes)
+    links = _verified(stars, sizes, nodes, rows, k, num, den)
+
+    # other leaders for what is left: two random members of each tile, so large groups of copies become one component
+    mixed = cut(_mixed(runs.select("h", "band", "node"), links))
+    pick = [F.min_by(F.struct("node", "comp"), F.xxhash64("h", "node", F.lit(seed))) for seed in (1, 2)]
+    leaders = mixed.groupBy("h", "band").agg(F.array(*pick).alias("lead"))
+    met = mixed.join(leaders, ["h", "band"]).select("node", "comp", F.explode("lead").alias("lead")).filter("comp != lead.comp")
+    more = met.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
+    more = cut(more.join(stars, ["a", "b"], "left_anti"))
+    links = links.unionByName(_verified(more, sizes, nodes, rows, k, num, den))
+
+    open_runs = cut(_mixed(mixed.select("h", "band", "node"), links))
+    plain = open_runs.filter(F.col("size") <= SMALL).select("h", "band", "node", "comp", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("binary").alias("bits"))
+    large = open_runs.filter(F.col("size") > SMALL).join(sizes, "node").select("h", "band", "node", "comp", "n", "bits")
+    dealt = plain.unionByName(large).repartition(parallelism(df.sparkSession), F.col("h")).sortWithinPartitions("h", "band", "node")
+    rest = dealt.mapInArrow(_unconnected(num, den), "a bigint, b bigint").distinct()
+    rest = rest.join(stars.unionByName(more), ["a", "b"], "left_anti")
+    links = links.unionByName(_verified(rest, sizes, nodes, rows, k, num, den))
 
     # rows that share an id are one document
     reps = nodes.select("node", "rep")
