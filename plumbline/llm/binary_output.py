@@ -116,7 +116,7 @@ def write_tokens(
     cuts = rows.agg(F.percentile_approx("doc_id", steps, 100 * shards).alias("c")).first()["c"] or []
     cuts = sorted(set(cuts))
     # the number of cuts below the id, found by halves
-    place = F.lit(0) if not cuts else F.coalesce(_rank(F.col("doc_id"), cuts), F.lit(0))
+    place = F.lit(0) if not cuts else F.when(F.col("doc_id").isNull(), 0).otherwise(_rank(F.col("doc_id"), cuts))
     dealt = rows.withColumn("shard", place.cast("int")).repartitionById(len(cuts) + 1, F.col("shard"))
     ordered = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.crc32(F.coalesce("text", F.lit(""))), F.length("text"))
 
