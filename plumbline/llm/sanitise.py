@@ -1,7 +1,7 @@
 """Personal data and the terms that disclose it.
 
-Patterns find protected entities. The corpus tells how strongly a term reveals one: with the documents that hold the
-term, n(t), the entity, n(e), and the distinct contexts that hold both, c(t, e), of N documents, the pointwise mutual
+Patterns find protected entities. The corpus tells how strongly a term reveals one: with the rows that hold the
+term, n(t), the entity, n(e), and the distinct contexts that hold both, c(t, e), of N rows, the pointwise mutual
 information log(c N / (n(t) n(e))) over the entity's information -log(n(e) / N) is 1 where a term never occurs without
 the entity. Terms over one threshold are removed, those over a lower one generalised, wherever they occur.
 """
@@ -127,9 +127,8 @@ def _slot(term: str) -> int:
     return xxhash.xxh3_64_intdigest(term) & (SLOTS - 1)
 
 
-def _occurrences(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, doc_id, content, start, end) of all occurrences in all texts; a hashed bitmap of fixed size (8 MB) tells
-    the tasks which words to hand on, and a join with the terms decides."""
+def _marks(terms: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size (8 MB) in which each term's hashed place is set."""
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,33 +137,79 @@ def _occurrences(rows: DataFrame, terms: DataFrame) -> DataFrame:
     marks = np.zeros(SLOTS // 8, dtype=np.uint8)
     at = terms.mapInArrow(slots, "slot bigint").distinct().toArrow().column("slot").to_numpy()  # SLOTS rows at most
     np.bitwise_or.at(marks, at >> 3, (1 << (at & 7)).astype(np.uint8))
-    held = rows.sparkSession.sparkContext.broadcast(marks)
+    return marks
+
+
+class _Marked:
+    """The words of a batch's texts whose place is set, as (text, word) numbers."""
+
+    def __init__(self, texts: pa.Array, bits: np.ndarray):
+        split = pc.split_pattern(texts, " ")
+        coded = split.flatten().dictionary_encode()
+        number: dict[str, int] = {}
+        of_piece: list[list[int]] = []
+        for piece in coded.dictionary.to_pylist():
+            words = [w for w in WORD.findall(piece.lower()) if bits[(s := _slot(w)) >> 3] >> (s & 7) & 1]
+            of_piece.append([number.setdefault(w, len(number)) for w in words])
+        counts = np.fromiter(map(len, of_piece), dtype=np.int64, count=len(of_piece))
+        every = np.array([w for ws in of_piece for w in ws], dtype=np.int64)
+        first = np.cumsum(counts) - counts
+        code = coded.indices.to_numpy()
+        hit = np.flatnonzero(counts[code] > 0) if len(code) else np.zeros(0, dtype=np.int64)
+        many = counts[code[hit]]
+        inner = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        self.word = every[np.repeat(first[code[hit]], many) + inner]
+        self.text = np.repeat(np.searchsorted(split.offsets.to_numpy(), hit, side="right") - 1, many)
+        self.words = list(number)
+
+
+def _holding(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, nt): how many rows hold each term, summed up by each task before the shuffle."""
+    held = rows.sparkSession.sparkContext.broadcast(_marks(terms))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, int] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
+
+        for batch in column_batches(batches):
+            found = _Marked(pc.fill_null(batch.column("text"), ""), held.value)
+            pairs = np.unique(found.text * max(1, len(found.words)) + found.word) % max(1, len(found.words))
+            for word, n in zip(found.words, np.bincount(pairs, minlength=len(found.words)).tolist()):
+                total[word] = total.get(word, 0) + n
+            if len(total) > 500_000:
+                yield from out()
+                total.clear()
+        yield from out()
+
+    summed = rows.mapInArrow(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("nt"))
+    return summed.join(terms, "term", "left_semi")
+
+
+def _occurrences(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, doc_id, content, start, end) of all occurrences in all texts; the bitmap tells the tasks which words to
+    hand on, and a join with the terms decides."""
+    held = rows.sparkSession.sparkContext.broadcast(_marks(terms))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
         for batch in column_batches(batches):
-            out = []
-            texts = pc.fill_null(batch.column("text"), "")
-            coded = pc.split_pattern(texts, " ")
-            flat = coded.flatten().dictionary_encode()
-            likely = np.array([any(bits[(s := _slot(w)) >> 3] >> (s & 7) & 1 for w in WORD.findall(x.lower())) for x in flat.dictionary.to_pylist()], dtype=bool)
-            if likely.any():
-                hits = np.concatenate([[0], np.cumsum(likely[flat.indices.to_numpy()])])
-                places = coded.offsets.to_numpy()
-                for i in np.flatnonzero(hits[places[1:]] > hits[places[:-1]]).tolist():
-                    text, doc_id = texts[i].as_py(), batch.column("doc_id")[i].as_py()
-                    key = _content(text)
-                    for m in WORD.finditer(text):
-                        word = m.group().lower()
-                        s = _slot(word)
-                        if bits[s >> 3] >> (s & 7) & 1:
-                            out.append((word, doc_id, key, m.start(), m.end()))
+            out, texts = [], pc.fill_null(batch.column("text"), "")
+            for i in np.unique(_Marked(texts, bits).text).tolist():
+                text, doc_id = texts[i].as_py(), batch.column("doc_id")[i].as_py()
+                key = _content(text)
+                for m in WORD.finditer(text):
+                    word = m.group().lower()
+                    s = _slot(word)
+                    if bits[s >> 3] >> (s & 7) & 1:
+                        out.append((word, doc_id, key, m.start(), m.end()))
             if out:
                 kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["term", "doc_id", "content", "start", "end"])
 
     found = rows.mapInArrow(find, "term string, doc_id bigint, content bigint, start int, end int")
-    return found.distinct().join(terms, "term", "left_semi")
+    return found.distinct().join(terms, "term")
 
 
 def disclosures(
@@ -183,27 +228,27 @@ def disclosures(
     in lower case) is a ``term`` or a ``hint`` where its highest share of an entity's information reaches ``remove`` or
     ``generalise``, among entities that it shares ``support`` distinct contexts with: copies of a document add none.
     Null texts count as empty and have no spans. Rows without an id and repeated rows have results of their own; the
-    latter count once. Other columns are ignored; an empty table gives no rows.
+    latter count as often as they occur. Other columns are ignored; an empty table gives no rows.
     """
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scanned = cut(rows.mapInArrow(_scan(words, reach), ROWS))
-    documents = scanned.select("doc_id", "content").distinct().count()
-    mentions = scanned.filter(F.size("mentions") > 0).select("doc_id", "content", F.explode("mentions").alias("m")).select("doc_id", "content", "m.*")
-    holders = mentions.groupBy("entity").agg(F.count_distinct(F.struct("doc_id", "content")).alias("ne"))
+    documents = scanned.count()
+    mentions = scanned.filter(F.size("mentions") > 0).select(F.monotonically_increasing_id().alias("row"), F.explode("mentions").alias("m")).select("row", "m.*")
+    holders = mentions.groupBy("entity").agg(F.count_distinct("row").alias("ne"))
     pairs = mentions.select("entity", "context", F.explode("terms").alias("term")).distinct()
     pairs = cut(pairs.groupBy("term", "entity").agg(F.count("*").alias("c")).filter(F.col("c") >= support))
     base = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
     if pairs.isEmpty():
         return _rendered(scanned.select("doc_id", base.alias("found")))
-    places = cut(_occurrences(rows, pairs.select("term").distinct()))
-    holding = places.select("term", "doc_id", "content").distinct().groupBy("term").agg(F.count("*").alias("nt"))
-    joint = pairs.join(holders, "entity").join(holding, "term")
+    joint = pairs.join(holders, "entity").join(_holding(rows, pairs.select("term").distinct()), "term")
     both = F.least("c", "nt", "ne")
     pmi = F.log(both * F.lit(float(documents)) / (F.col("nt") * F.col("ne")))
     strength = F.when(F.col("ne") < documents, pmi / -F.log(F.col("ne") / F.lit(float(documents)))).otherwise(0.0)
-    strong = joint.groupBy("term").agg(F.max(strength).alias("strength")).filter(F.col("strength") >= generalise)
+    strong = cut(joint.groupBy("term").agg(F.max(strength).alias("strength")).filter(F.col("strength") >= generalise))
+    if strong.isEmpty():
+        return _rendered(scanned.select("doc_id", base.alias("found")))
     kind = F.when(F.col("strength") >= remove, 4).otherwise(5)
-    more = places.join(strong, "term").select("doc_id", "content", F.struct("start", kind.cast("int").alias("kind"), "end").alias("x"))
+    more = _occurrences(rows, strong).select("doc_id", "content", F.struct("start", kind.cast("int").alias("kind"), "end").alias("x"))
     more = more.groupBy("doc_id", "content").agg(F.collect_list("x").alias("more")).withColumnRenamed("content", "key").withColumnRenamed("doc_id", "holder")
     met = scanned.join(more, (F.col("content") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("holder")), "left")
     outside = F.filter(F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,end:int>>")), lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
