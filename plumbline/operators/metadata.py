@@ -12,7 +12,7 @@ from .registry import Tables, query
 
 TPCH = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 IN_TPCH = ", ".join(f"'{x}'" for x in TPCH)
-KIND_SQL = "CASE WHEN data_type LIKE '%[]' THEN 'ARRAY' WHEN data_type IN ('BIGINT', 'INTEGER', 'SMALLINT') THEN 'INT' WHEN data_type IN ('DOUBLE', 'FLOAT') THEN 'FLOAT' WHEN data_type = 'VARCHAR' THEN 'STRING' WHEN data_type = 'DATE' THEN 'DATE' WHEN data_type LIKE 'TIMESTAMP%' THEN 'TIMESTAMP' WHEN data_type LIKE 'DECIMAL%' THEN 'DECIMAL' ELSE 'UNKNOWN' END"
+KIND_SQL = "CASE WHEN data_type LIKE '%[]' THEN 'ARRAY' WHEN data_type = 'BOOLEAN' THEN 'BOOL' WHEN data_type IN ('BIGINT', 'INTEGER', 'SMALLINT') THEN 'INT' WHEN data_type IN ('DOUBLE', 'FLOAT') THEN 'FLOAT' WHEN data_type = 'VARCHAR' THEN 'STRING' WHEN data_type = 'DATE' THEN 'DATE' WHEN data_type LIKE 'TIMESTAMP%' THEN 'TIMESTAMP' WHEN data_type LIKE 'DECIMAL%' THEN 'DECIMAL' ELSE 'UNKNOWN' END"
 
 
 def actual_columns(t: Tables, *relations: str) -> DataFrame:
@@ -335,3 +335,41 @@ def model_type(t: Tables) -> DataFrame:
 def extract_refs(t: Tables) -> DataFrame:
     text = F.concat(F.lit("select * from {{ ref('"), "n_name", F.lit("') }} a {{ config(x=1) }} join {{source(\"raw\", 'r"), F.col("n_regionkey").cast("string"), F.lit("')}} b on {{ ref('a', 'b') }}"))
     return templates.extract_refs(t.nation.select(F.col("n_nationkey").alias("model"), text.alias("sql")), "model", "sql")
+
+
+@query("SELECT n_nationkey AS model, 'select * from db.' || n_name || ' join src.r' || CAST(n_regionkey AS VARCHAR) || ' on {{ ref(''other'') }}' AS sql FROM nation WHERE n_nationkey = 7")
+def replace_refs(t: Tables) -> DataFrame:
+    one = t.nation.filter("n_nationkey = 7")
+    names = one.select("n_name", "n_regionkey").first()  # one row: the targets of a project are metadata
+    text = F.concat(F.lit("select * from {{ ref(\""), "n_name", F.lit("\")}} join {{source( 'raw','r"), F.col("n_regionkey").cast("string"), F.lit("' ) }} on {{ ref('other') }}"))
+    targets = {(names[0],): f"db.{names[0]}", ("raw", f"r{names[1]}"): f"src.r{names[1]}"}
+    return one.select(F.col("n_nationkey").alias("model"), templates.replace_refs(text, targets).alias("sql"))
+
+
+@query("SELECT n_nationkey AS model, n_name AS name, CASE WHEN n_nationkey % 4 <> 0 THEN 'model.p.' || n_name END AS unique_id FROM nation")
+def resolve_refs(t: Tables) -> DataFrame:
+    text = F.concat(F.lit("select * from {{ ref('"), "n_name", F.lit("') }}"))
+    refs = templates.extract_refs(t.nation.select(F.col("n_nationkey").alias("model"), text.alias("sql")), "model", "sql")
+    known = t.nation.filter("n_nationkey % 4 <> 0").select(F.lit("ref").alias("kind"), F.lit(None).cast("string").alias("source"), F.col("n_name").alias("name"), F.concat(F.lit("model.p."), "n_name").alias("unique_id"), F.col("n_name").alias("target"))
+    return templates.resolve_refs(refs, known).select("model", "name", "unique_id")
+
+
+# Models whose schemas both engines infer without running them.
+MODELS = {
+    "orders_by_customer": "WITH o AS (SELECT o_custkey, o_totalprice FROM orders) SELECT c.c_name AS customer, count(*) AS n, max(o.o_totalprice) AS most FROM customer c JOIN o ON c.c_custkey = o.o_custkey GROUP BY c.c_name",
+    "flags": "SELECT p_partkey, p_size > 10 AS large, CASE WHEN p_size > 40 THEN 'xl' ELSE 'm' END AS tier, coalesce(p_size, 0) AS size_or_0, upper(p_name) AS up, p_retailprice IS NULL AS odd FROM part",
+    "stacked": "SELECT s_suppkey AS id, s_name AS name, s_acctbal / 2 AS half FROM supplier UNION ALL SELECT c_custkey, c_name, c_acctbal FROM customer",
+    "dates": "SELECT o.o_orderkey, CAST(o.o_orderdate AS DATE) AS day, o.o_orderdate AS at, CAST(o.o_totalprice AS DECIMAL(12, 2)) AS price FROM orders o",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{m}' AS model, column_name AS name, {KIND_SQL.replace('data_type', 'column_type')} AS kind FROM (DESCRIBE {sql})" for m, sql in MODELS.items()))
+def infer_schema(t: Tables) -> DataFrame:
+    """Schemas of SQL models by analysis on empty relations."""
+    from ..plans.infer import Analyzer
+
+    analyzer = Analyzer(t.spark)
+    for relation in TPCH:
+        analyzer.add(relation, getattr(t, relation).schema)
+    found = {m: analyzer.infer(sql).schema for m, sql in MODELS.items()}
+    return columns_frame(t.spark, found).select(F.col("relation").alias("model"), "name", F.col("type.kind").alias("kind"))
