@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.iterate import cut
 
+#: Edges up to which a graph is sent to the tasks (a few MB) instead of being joined round by round.
+LOCAL_EDGES = 200_000
+
 
 def edges_of(nodes: DataFrame) -> DataFrame:
     """Edges from nodes with (unique_id, depends_on array)."""
@@ -22,15 +29,18 @@ def edges_of_maps(parent_map: DataFrame, child_map: DataFrame, nodes: DataFrame)
     return up.unionByName(down).distinct()
 
 
-def downstream(edges: DataFrame, starts: DataFrame) -> DataFrame:
+def downstream(edges: DataFrame, starts: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(start, node, depth): all that is reached from each start's node, with the least number of steps.
 
-    ``starts`` has one column, ``start``. A round joins the frontier with the edges and leaves what was seen; each is
-    cut once, so the plan stays as small as one round, and edges that fit are broadcast by size. A start is in its own
-    result only if it lies on a cycle.
+    ``starts`` has one column, ``start``. A start is in its own result only if it lies on a cycle. A graph of at most
+    ``local_edges`` edges is broadcast, and each task searches from its own starts. A larger one is joined with the
+    frontier in rounds, each cut once, so the plan stays as small as one round.
     """
-    edges = cut(edges.select("parent", "child").distinct())
-    frontier = cut(starts.select("start", F.col("start").alias("node")).distinct())
+    edges, starts = edges.select("parent", "child").distinct(), starts.select("start").distinct()
+    small = edges.limit(local_edges + 1).toArrow()
+    if small.num_rows <= local_edges:
+        return _searched(small, starts, dict(edges.dtypes)["child"])
+    edges, frontier = cut(edges), cut(starts.select("start", F.col("start").alias("node")))
     seen, depth = None, 0
     while True:
         depth += 1
@@ -44,6 +54,32 @@ def downstream(edges: DataFrame, starts: DataFrame) -> DataFrame:
         frontier = frontier.select("start", "node")
 
 
+def _children(edges: pa.Table) -> dict:
+    out = defaultdict(list)
+    for parent, child in zip(edges.column("parent").to_pylist(), edges.column("child").to_pylist()):
+        out[parent].append(child)
+    return out
+
+
+def _searched(edges: pa.Table, starts: DataFrame, kind: str) -> DataFrame:
+    held = starts.sparkSession.sparkContext.broadcast(_children(edges))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        children = held.value
+        for batch in batches:
+            form = pa.schema([("start", batch.schema.field("start").type), ("node", batch.schema.field("start").type), ("depth", pa.int32())])
+            for start in batch.column("start").to_pylist():
+                depth, frontier, found = 0, [start], {}
+                while frontier:
+                    depth += 1
+                    frontier = [c for c in dict.fromkeys(c for n in frontier for c in children.get(n, ())) if c not in found]
+                    found |= dict.fromkeys(frontier, depth)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([start] * len(found), form.types[0]), pa.array(list(found), form.types[1]), pa.array(list(found.values()), pa.int32())], schema=form)
+
+    return starts.select(F.col("start").cast(kind).alias("start")).mapInArrow(search, f"start {kind}, node {kind}, depth int")
+
+
 def upstream(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """The same against the edges' direction."""
     return downstream(edges.select(F.col("child").alias("parent"), F.col("parent").alias("child")), starts)
@@ -55,11 +91,16 @@ def has_path(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(reached, ["start", "node"], "left").select("start", "node", F.coalesce("hit", F.lit(False)).alias("path"))
 
 
-def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, level): the longest path from a node without parents; null for nodes on or behind a cycle."""
-    left = cut(edges.select("parent", "child").distinct())
-    open_nodes = cut(nodes.select("node").distinct())
-    done, level = None, 0
+def levels(edges: DataFrame, nodes: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(node, level): the longest path from a node without parents; null for nodes on or behind a cycle.
+
+    Small graphs are ordered on the driver, larger ones in rounds that take the nodes without open parents.
+    """
+    edges = edges.select("parent", "child").distinct()
+    small = edges.limit(local_edges + 1).toArrow()
+    if small.num_rows <= local_edges:
+        return _ordered(small, nodes.select("node").distinct())
+    left, open_nodes, done, level = cut(edges), cut(nodes.select("node").distinct()), None, 0
     while True:
         free = cut(open_nodes.join(left, F.col("node") == F.col("child"), "left_anti").withColumn("level", F.lit(level)))
         if free.isEmpty():
@@ -72,6 +113,30 @@ def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         level += 1
 
 
+def _ordered(edges: pa.Table, nodes: DataFrame) -> DataFrame:
+    """Levels of the nodes that have an edge, beside which any other node has level 0 and needs no place on the driver."""
+    children, waits, level = _children(edges), defaultdict(int), {}
+    for child in edges.column("child").to_pylist():
+        waits[child] += 1
+    ready = [n for n in children if not waits[n]]
+    level = dict.fromkeys(ready, 0)
+    while ready:
+        after = []
+        for n in ready:
+            for c in children.get(n, ()):
+                level[c] = max(level.get(c, 0), level[n] + 1)
+                waits[c] -= 1
+                if not waits[c]:
+                    after.append(c)
+        ready = after
+    known = list(dict.fromkeys([*children, *waits]))
+    values = [level.get(n) if not waits[n] else None for n in known]
+    kind = edges.schema.field("child").type
+    table = nodes.sparkSession.createDataFrame(pa.table({"node": pa.array(known, kind), "level": pa.array(values, pa.int32()), "edge": pa.array([True] * len(known))}))
+    both = nodes.join(table, "node", "left")
+    return both.select("node", F.when(F.col("edge"), F.col("level")).otherwise(0).alias("level"))
+
+
 def find_node(nodes: DataFrame, sources: DataFrame, names: DataFrame) -> DataFrame:
     """(name, unique_id): a unique id itself, else a model's name, else a source's; ties go to the least id."""
     keys = nodes.select(F.col("unique_id").alias("name"), "unique_id", F.lit(0).alias("rank"))

@@ -57,14 +57,24 @@ def test_contract_types_of_parity(spark, raw, want):
     assert spark.range(1).select(L.normalise(F.lit(None).cast("string")).alias("x")).first().x is None
 
 
-def test_closures_with_cycles(spark):
+@pytest.mark.parametrize("local", [0, lineage.LOCAL_EDGES])
+def test_closures_with_cycles(spark, local):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "y")], "parent string, child string")
     starts = spark.createDataFrame([("a",)], "start string")
-    assert {(r.node, r.depth) for r in lineage.downstream(edges, starts).collect()} == {("b", 1), ("c", 2), ("a", 3), ("d", 3)}
+    assert {(r.node, r.depth) for r in lineage.downstream(edges, starts, local).collect()} == {("b", 1), ("c", 2), ("a", 3), ("d", 3)}
     assert {r.node for r in lineage.upstream(edges, spark.createDataFrame([("d",)], "start string")).collect()} == {"a", "b", "c"}
     nodes = spark.createDataFrame([(n,) for n in "abcdxyz"], "node string")
-    assert {r.node: r.level for r in lineage.levels(edges, nodes).collect()} == {"a": None, "b": None, "c": None, "d": None, "x": 0, "y": 1, "z": 0}
-    assert lineage.downstream(edges, starts.limit(0)).isEmpty()
+    assert {r.node: r.level for r in lineage.levels(edges, nodes, local).collect()} == {"a": None, "b": None, "c": None, "d": None, "x": 0, "y": 1, "z": 0}
+    assert lineage.downstream(edges, starts.limit(0), local).isEmpty()
+
+
+def test_deep_graph(spark):
+    """Each model depends on the two before it."""
+    rows = [(f"m{i - d}", f"m{i}") for i in range(1000) for d in (1, 2) if i >= d]
+    edges = spark.createDataFrame(rows, "parent string, child string")
+    assert lineage.downstream(edges, spark.createDataFrame([("m0",)], "start string")).agg(F.count("*"), F.max("depth")).first() == (999, 500)
+    nodes = spark.createDataFrame([(f"m{i}",) for i in range(1000)], "node string")
+    assert lineage.levels(edges, nodes).agg(F.max("level")).first()[0] == 999
 
 
 def test_state_and_blast_radius(spark):
