@@ -118,18 +118,21 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def skew_safe_join(facts: DataFrame, groups: DataFrame, key: str, weight: str, total: int, share: int = 10_000) -> DataFrame:
-    """``facts`` left joined with one row per ``key`` of ``groups``; ``weight``: its number of facts.
+    """``facts`` left joined with one row per ``key`` (a long) of ``groups``; ``weight``: its number of facts.
 
-    Keys that hold more than 1/``share`` of ``total`` facts number at most ``share``, so these groups are
-    broadcast whatever the input's size; their facts stay where they are. All others go through a shuffle join.
+    Keys that hold more than 1/``share`` of ``total`` facts number at most ``share``, so these groups are broadcast
+    whatever the input's size. Their facts take a hash of their own columns for a key in the shuffle join of all
+    others, which spreads them evenly.
     """
-    least = max(1000, total // share)
-    hot = groups.filter(F.col(weight) > least)
-    keys = hot.select(F.col(key).alias("_hot"))
-    marked = facts.join(F.broadcast(keys), F.col(key).eqNullSafe(F.col("_hot")), "left")
-    warm = marked.filter(F.col("_hot").isNotNull()).drop("_hot").join(F.broadcast(hot), key, "inner")
-    cold = marked.filter(F.col("_hot").isNull()).drop("_hot").join(groups.filter(F.col(weight) <= least), key, "left")
-    return cold.unionByName(warm)
+    least, names = max(1000, total // share), [c for c in groups.columns if c != key]
+    hot = groups.filter(F.col(weight) > least).select(F.col(key).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in names])
+    marked = facts.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    dealt = marked.withColumn("_key", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(F.xxhash64(*facts.columns)))
+    cold = groups.filter(F.col(weight) <= least).select(F.col(key).alias("_cold"), *[F.col(c).alias(f"_cold_{c}") for c in names])
+    both = dealt.join(cold, F.col("_key") == F.col("_cold"), "left")
+    value = lambda c: F.when(F.col("_hot").isNotNull(), F.col(f"_hot_{c}")).when(F.col("_cold") == F.col(key), F.col(f"_cold_{c}"))
+    return both.select(*facts.columns, *[value(c).alias(c) for c in names])
+
 
 
 MARKS = 1 << 26
