@@ -132,7 +132,8 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, width, data in zip(*(batch.column(c).to_pylist() for c in ("block", "width", "data"))):
             values = np.frombuffer(data, f"<i{width}").astype(np.int64)
             total[block] = total[block] + values if block in total else values
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["block", "data"])
+    width = pa.array([8] * len(total), pa.int32())
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), width, pa.array([v.tobytes() for v in total.values()], pa.binary())], ["block", "width", "data"])
 
 
 def _gathered(train: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -142,10 +143,11 @@ def _gathered(train: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, np.
     """
     held = train.sparkSession.sparkContext.broadcast(vocabulary)
     parts = train.mapInArrow(_neighbours(held), "block int, width int, data binary")
-    # the tasks' rows are summed up in two steps, so none has to read them all
+    # the tasks' rows are summed up in two steps, so none has to read them all, and one row for a block is left
+    form, n = "block int, width int, data binary", parallelism(train.sparkSession)
     fan = F.pmod(F.xxhash64(F.spark_partition_id(), "block"), F.lit(16))
-    first = parts.withColumn("fan", fan).repartition(parallelism(train.sparkSession), "block", "fan").select("block", "width", "data").mapInArrow(_summed, "block int, data binary")
-    rows = first.toArrow()
+    first = parts.withColumn("fan", fan).repartition(n, "block", "fan").select("block", "width", "data").mapInArrow(_summed, form)
+    rows = first.repartition(n, "block").mapInArrow(_summed, form).toArrow()
     pairs = np.zeros(ALL * ALL, dtype=np.int64)
     around = np.zeros((-(-vocabulary.clustered // BLOCK), BLOCK * 2 * ALL), dtype=np.int64)
     for block, data in zip(rows.column("block").to_pylist(), rows.column("data").to_pylist()):
