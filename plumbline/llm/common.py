@@ -76,6 +76,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_kept: dict = {}
+
+
+def kept(name, make: Callable):
+    """What an operator keeps in a worker process from task to task; another operator's takes its place."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def forget() -> None:
+    """Drop what an operator before this one has kept, and Arrow's unused memory."""
+    _kept.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def column_batches(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``max_bytes`` at most, whatever Arrow's batch size is."""
     for batch in batches:

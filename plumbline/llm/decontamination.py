@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, bytes_of, column_batches, rows_where
+from .common import LOWER, bytes_of, column_batches, kept, rows_where
 
 HITS = "doc_id bigint, item_id bigint, distance int, start bigint, end bigint"
 
@@ -139,9 +139,6 @@ def original_places(raw: str, places: list[int]) -> list[int]:
     return [at[p] for p in places]
 
 
-_matchers: dict[str, Matcher] = {}
-
-
 def contaminated(
     docs: DataFrame,
     items: DataFrame,
@@ -186,10 +183,7 @@ def _blocks(items: DataFrame, rate: float, block_bytes: int, item_id_col: str, i
 def _matcher(held) -> Matcher:
     """The matcher of this worker process for a block."""
     name, items, rate = held.value
-    if name not in _matchers:
-        _matchers.clear()
-        _matchers[name] = Matcher(items, rate)
-    return _matchers[name]
+    return kept(("matcher", name), lambda: Matcher(items, rate))
 
 
 def clean(docs: DataFrame, items: DataFrame, rate: float = 0.08, block_bytes: int = 2 << 20, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, bytes_of, column_batches, parallelism, staged
+from .common import SPACES, bytes_of, column_batches, forget, parallelism, staged
 
 #: Contents of a task that are held in memory at once; what is beyond goes to spill files.
 MEMORY = 48 << 20
@@ -206,6 +206,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def _rows_local(batches: Iterator[pa.RecordBatch], run_bytes: int = 24 << 20) -> Iterator[pa.RecordBatch]:
     """The best row of each content of a run, with its digest and rank."""
+    forget()
     base, made, table, best, size, kept = TaskContext.get().partitionId() << 32, 0, Table(), {}, 0, []
 
     def close() -> Iterator[pa.RecordBatch]:

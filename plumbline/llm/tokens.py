@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import kept
+
 #: White space that touches a space or a line end, or an end of the text.
 BLANK = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 ODD = f"{BLANK}[ \n]|[ \n](?:{BLANK}|$)|^{BLANK}"
@@ -25,7 +27,7 @@ class Encoder:
     tokenizer gets its texts whole. Special tokens' strings in a text are ordinary text.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -175,11 +177,6 @@ class Encoder:
         return np.split(ids, ends[:-1]) if len(ends) else []
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The encoder of this worker process for ``path``."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return kept(("encoder", path), lambda: Encoder(path))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_batches, crc_mod_column, rows_where, texts_of
+from .common import column_batches, crc_mod_column, forget, rows_where, texts_of
 
 WORD = re.compile(r"[^\W_]+")
 PREFIXES = (3, 4, 5, 6)
@@ -67,7 +67,7 @@ class Model:
         memo = self.memo
         got = list(map(memo.get, pieces))
         if None in got:
-            if len(memo) > 500_000:
+            if len(memo) > 250_000:
                 memo.clear()
             for x in {x for x, s in zip(pieces, got) if s is None}:
                 memo[x] = self.raw_score(x)
@@ -160,17 +160,18 @@ def finish(model: Model, spread: Counter, parts: list[tuple[list, int, int]]) ->
     model.weights = w.tolist()
 
 
-def count_features(docs: Iterator[tuple[str, int]]) -> dict[str, list[int]]:
-    """Documents with each feature, and toxic ones among them."""
+def count_features(docs: Iterator[tuple[str, int]], room: int = 250_000) -> Iterator[dict[str, list[int]]]:
+    """Documents with each feature, and toxic ones among them, as partial sums of about ``room`` features at most."""
     out: dict[str, list[int]] = {}
-    known: dict[str, list[str]] = {}
     for text, toxic in docs:
-        tokens = {t for raw in set(text.split()) for t in tokens_of(raw)}
-        for name in {f for t in tokens for f in (known.get(t) or known.setdefault(t, features(t)))}:
+        for name in {f for raw in set(text.split()) for t in tokens_of(raw) for f in features(t)}:
             got = out.setdefault(name, [0, 0])
             got[0] += 1
             got[1] += toxic
-    return out
+        if len(out) > room:
+            yield out
+            out = {}
+    yield out
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train=None) -> Model:
@@ -194,11 +195,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, id_col: str
             for batch in column_batches(batches):
                 yield from ((text, int(toxic > 0)) for text, toxic in zip(texts_of(batch), batch.column("toxic").to_pylist()))
 
-        got = count_features(docs_of())
-        names = list(got)
-        for i in range(0, len(names), 50_000):
-            part = names[i : i + 50_000]
-            columns = [pa.array(part, pa.string()), pa.array([got[x][0] for x in part], pa.int64()), pa.array([got[x][1] for x in part], pa.int64())]
+        forget()
+        for got in count_features(docs_of()):
+            columns = [pa.array(list(got), pa.string()), *[pa.array([x[i] for x in got.values()], pa.int64()) for i in (0, 1)]]
             yield pa.RecordBatch.from_arrays(columns, ["name", "c", "c1"])
 
     gathered = sample.filter("not held").mapInArrow(counts, "name string, c bigint, c1 bigint")
@@ -250,6 +249,7 @@ def segment_rows(df: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         m = held.value
         for batch in column_batches(batches):
             scores, passages = [], []
