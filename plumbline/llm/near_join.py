@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, bytes_of, column_batches, crc_mod_column, cut, id_marks, marked, parallelism, skew_safe_join
+from .common import LOWER, bytes_of, column_batches, crc_mod_column, cut, forget, id_marks, marked, parallelism, skew_safe_join
 from .graph import components
 
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -36,7 +36,7 @@ MULT = np.uint64(0x9E3779B97F4A7C15)
 class Shingler:
     """Sorted arrays of 64-bit hashes of a text's distinct shingles of ``k`` words."""
 
-    def __init__(self, k: int, limit: int = 400_000):
+    def __init__(self, k: int, limit: int = 200_000):
         self.k, self.limit, self.memo = k, limit, {}
 
     def words(self, text: bytes) -> list[bytes]:
@@ -115,8 +115,12 @@ def _hot_shingles(rows: DataFrame, k: int, most: int = 1 << 20) -> tuple[np.ndar
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["h"])
 
     sample = rows.filter(crc_mod_column("doc_id", 16) == 5)
-    counts = sample.mapInArrow(shingles, "h bigint").groupBy("h").agg(F.count("*").alias("c")).filter("c >= 3")
-    got = counts.orderBy(F.desc("c"), "h").limit(most).toArrow()
+    counts = cut(sample.mapInArrow(shingles, "h bigint").groupBy("h").agg(F.count("*").alias("c")).filter("c >= 3"))
+    # the least count that leaves ``most`` shingles at most; there are few distinct counts
+    levels = counts.groupBy("c").agg(F.count("*").alias("k")).orderBy(F.desc("c")).toArrow()
+    fits = np.cumsum(levels.column("k").to_numpy()) <= most
+    least = int(levels.column("c").to_numpy()[fits][-1]) if fits.any() else 1 << 62
+    got = counts.filter(F.col("c") >= least).toArrow()
     h, c = got.column("h").to_numpy().view(np.uint64), got.column("c").to_numpy()
     order = np.argsort(h)
     return h[order], c[order]
@@ -127,6 +131,7 @@ def _facts(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
     hot = rows.sparkSession.sparkContext.broadcast((hot_h, hot_c))
 
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         make, seen = Shingler(k), set()
         hashes, counts = hot.value
         for batch in column_batches(batches):
