@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, parallelism
+
+#: Edges of a partition in the rounds.
+EDGES = 50_000
 
 
 def _towards_least(pairs: DataFrame) -> DataFrame:
@@ -22,15 +25,16 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     joins are plain ones, which adaptive execution splits where a vertex has very many edges.
     """
     edges = edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).filter("u > v").distinct()
-    edges, mark = cut(edges), None
-    while True:
+    edges, mark, most = cut(edges), None, parallelism(edges.sparkSession)
+    parts = lambda df: df.coalesce(min(most, now[0] // EDGES + 1))  # noqa: E731  few edges make few small files
+    now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    while now != mark:
+        edges = parts(edges)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _towards_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u > v").distinct()
-        small = _towards_least(large)
+        large = parts(large.filter("u > v").distinct())
+        small = parts(_towards_least(large))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        edges = cut(small.filter("u > v").distinct())
+        edges, mark = cut(parts(small.filter("u > v").distinct())), now
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
-        mark = now
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
