@@ -128,7 +128,7 @@ def write_tokens(
             cols = [pa.array([shard], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([ids], pa.list_(pa.int64()))]
             return pa.RecordBatch.from_arrays([*cols, pa.array([size], pa.int64()), pa.array([build_segment(docs)], pa.binary())], ["shard", "seq", "before", "doc_ids", "n_tokens", "payload"])
 
-        for batch in column_batches(batches, 4 << 20):
+        for batch in column_batches(batches, 8 << 20):
             got, ends = enc.encode_column(batch.column("text"), end_id)
             got = got.astype("<u2") if len(got) and int(got.max()) < 1 << 16 else got
             for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), [0, *ends.tolist()], ends.tolist()):

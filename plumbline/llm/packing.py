@@ -90,7 +90,7 @@ def pack(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
-        for batch in column_batches(batches, 4 << 20):
+        for batch in column_batches(batches, 8 << 20):
             out: list[list] = [[], [], [], [], [], []]
             every, ends = enc.encode_column(batch.column("text"), end_id)
             for doc_id, first, last in zip(batch.column("doc_id").to_pylist(), [0, *ends.tolist()], ends.tolist()):
