@@ -1,8 +1,8 @@
 """Personal data and the terms that disclose it.
 
 Patterns find protected entities. The corpus tells how strongly a term reveals one: with the rows that hold the
-term, n(t), the entity, n(e), and the distinct contexts that hold both, c(t, e), of N rows, the pointwise mutual
-information log(c N / (n(t) n(e))) over the entity's information -log(n(e) / N) is 1 where a term never occurs without
+term, n(t), the entity, n(e), and the term near the entity, c(t, e), of N rows, the pointwise mutual information
+log(c N / (n(t) n(e))) over the entity's information -log(n(e) / N) is 1 where a term never occurs without
 the entity. Terms over one threshold are removed, those over a lower one generalised, wherever they occur.
 """
 
@@ -98,9 +98,9 @@ def contexts(text: str, found: list[tuple[int, int, int]], words: int, reach: in
         yield f"{KINDS[kind]}:{text[start:end].lower()}", xxhash.xxh3_64_intdigest(" ".join(before + ["|"] + after)) - (1 << 63), {*before, *after}
 
 
-ROWS = "doc_id bigint, content bigint, base array<struct<start:int,kind:int,end:int>>, mentions array<struct<entity:string,context:bigint,terms:array<string>>>"
+ROWS = "doc_id bigint, content bigint, base array<struct<start:int,kind:int,end:int>>, mentions array<struct<entity:string,context:bigint,terms:array<struct<term:string,fresh:int>>>>"
 SPAN = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-MENTION = pa.list_(pa.struct([("entity", pa.string()), ("context", pa.int64()), ("terms", pa.list_(pa.string()))]))
+MENTION = pa.list_(pa.struct([("entity", pa.string()), ("context", pa.int64()), ("terms", pa.list_(pa.struct([("term", pa.string()), ("fresh", pa.int32())])))]))
 SLOTS = 1 << 26
 
 
@@ -108,6 +108,15 @@ def _content(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def _once(found: Iterator[tuple[str, int, set[str]]]) -> list[dict]:
+    """A text's mentions; a term is fresh (1) where it meets an entity for the first time in the text."""
+    met, out = set(), []
+    for entity, context, terms in found:
+        out.append({"entity": entity, "context": context, "terms": [{"term": t, "fresh": int((entity, t) not in met)} for t in sorted(terms)]})
+        met.update((entity, t) for t in terms)
+    return out
+
+
 def _scan(words: int, reach: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in column_batches(batches):
@@ -116,7 +125,7 @@ def _scan(words: int, reach: int):
                 found = entities(text)
                 keys.append(_content(text))
                 base.append([{"start": a, "kind": k, "end": b} for a, k, b in found])
-                mentions.append([{"entity": e, "context": c, "terms": sorted(t)} for e, c, t in contexts(text, found, words, reach)])
+                mentions.append(_once(contexts(text, found, words, reach)))
             columns = [batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(base, SPAN), pa.array(mentions, MENTION)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "content", "base", "mentions"])
 
@@ -226,17 +235,19 @@ def disclosures(
 
     Spans have code points of the text; base ones are the protected entities. A term (a word of three letters or more,
     in lower case) is a ``term`` or a ``hint`` where its highest share of an entity's information reaches ``remove`` or
-    ``generalise``, among entities that it shares ``support`` distinct contexts with: copies of a document add none.
+    ``generalise``, among entities that it shares ``support`` distinct contexts or texts with: repeated rows add none.
     Null texts count as empty and have no spans. Rows without an id and repeated rows have results of their own; the
     latter count as often as they occur. Other columns are ignored; an empty table gives no rows.
     """
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scanned = cut(rows.mapInArrow(_scan(words, reach), ROWS))
     documents = scanned.count()
-    mentions = scanned.filter(F.size("mentions") > 0).select(F.monotonically_increasing_id().alias("row"), F.explode("mentions").alias("m")).select("row", "m.*")
+    mentions = scanned.filter(F.size("mentions") > 0).select(F.monotonically_increasing_id().alias("row"), "content", F.explode("mentions").alias("m")).select("row", "content", "m.*")
     holders = mentions.groupBy("entity").agg(F.count_distinct("row").alias("ne"))
-    pairs = mentions.select("entity", "context", F.explode("terms").alias("term")).distinct()
-    pairs = cut(pairs.groupBy("term", "entity").agg(F.count("*").alias("c")).filter(F.col("c") >= support))
+    pairs = mentions.select("entity", "context", "content", F.explode("terms").alias("t")).select("entity", "context", "content", "t.*")
+    pairs = pairs.groupBy("term", "entity", "context", "content").agg(F.sum("fresh").alias("c"))
+    pairs = pairs.groupBy("term", "entity").agg(F.sum("c").alias("c"), F.count_distinct("context").alias("ways"), F.count_distinct("content").alias("texts"))
+    pairs = cut(pairs.filter(F.greatest("ways", "texts") >= support).select("term", "entity", "c"))
     base = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
     if pairs.isEmpty():
         return _rendered(scanned.select("doc_id", base.alias("found")))

@@ -461,6 +461,22 @@ def test_disclosing_terms(spark, none):
     assert sanitise.disclosures(none).count() == 0
 
 
+def test_disclosing_terms_in_copies(spark):
+    rng = random.Random(16)
+    plain = ["w" + "".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(20)]
+    fill = lambda n: " ".join(rng.choice(plain) for _ in range(n))
+    ring = f"{fill(9)} Zebulon mails joe@corp.example {fill(9)}"
+    rows = [(i, fill(30)) for i in range(3000)] + [(5000, f"{fill(9)} Zebulon calls joe@corp.example {fill(9)}")]
+    rows += [(6000 + i, ring) for i in range(1000)]
+    passage = f"{fill(9)} Quentin sends ann@corp.example {fill(9)}"
+    rows += [(8000 + i, f"{fill(9)} number {i} {passage} {fill(9)}") for i in range(300)]
+    rows += [(9000, f"{fill(9)} Ulrich asks bob@corp.example {fill(9)}")] * 2
+    spans = {r.doc_id: r.found for r in sanitise.disclosures(frame(spark, rows)).collect()}
+    at = lambda i: [dict(rows)[i][x.start : x.end] for x in spans[i] if x.kind == 4]
+    assert at(5000) == at(6000) == at(6999) == ["Zebulon"] and at(8000) == at(8299) == ["Quentin", "sends"]
+    assert at(9000) == []
+
+
 # 10: sentence spans
 
 
