@@ -16,6 +16,8 @@ from .tokens import encoder
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
+ORDER = [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]
+
 
 class BestFit:
     """Online best-fit with at most ``open_bins`` open bins of ``capacity``.
@@ -67,6 +69,23 @@ def cut_lengths(n: int, capacity: int) -> list[int]:
     return ([first] if first else []) + [capacity] * (n // capacity)
 
 
+def in_groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The same pieces in groups of exactly ``rows`` (the last may have fewer), each from long to short."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            part = batch.slice(at, rows - n)
+            held.append(part)
+            at, n = at + part.num_rows, n + part.num_rows
+            if n == rows:
+                yield pa.Table.from_batches(held).sort_by(ORDER)
+                held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).sort_by(ORDER)
+
+
 def pack(
     df: DataFrame,
     tokenizer_path: str,
@@ -81,9 +100,10 @@ def pack(
 
     Null texts count as empty (the end id alone). Rows without an id and rows that share one are documents of their
     own. Other columns are ignored; an empty table gives no rows. Pieces are dealt evenly by a hash of their length
-    and document, ordered within a task from long to short, and packed task by task, so at most ``open_bins``
-    sequences a task stay partly empty for want of later pieces, and the result doesn't depend on the order of arrival.
-    ``sequence_id`` is the task's number and the bin's.
+    and document, ordered within a task by another, and packed in groups of ``open_bins`` pieces, each from long to
+    short. A group fills no more bins than can be open, so the long pieces' bins stay open until the group's short
+    pieces come, however many a task has; bins that are still open take pieces of later groups. The result doesn't
+    depend on the order of arrival. ``sequence_id`` is the task's number and the bin's.
     """
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = PIECES + (", ids binary" if with_ids else "")
@@ -107,16 +127,14 @@ def pack(
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, bins = TaskContext.get().partitionId() << 40, BestFit(capacity, open_bins)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            put = np.array([bins.put(x) for x in batch.column("length").to_pylist()], dtype=np.int64)
-            columns = [*batch.columns, pa.array(put[:, 0] + base, pa.int64()), pa.array(put[:, 1], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "sequence_id", "offset"])
+        for group in in_groups(batches, open_bins):
+            put = np.array([bins.put(x) for x in group.column("length").to_pylist()], dtype=np.int64)
+            group = group.append_column("sequence_id", pa.array(put[:, 0] + base, pa.int64())).append_column("offset", pa.array(put[:, 1], pa.int64()))
+            yield from group.to_batches()
 
     pieces = rows.mapInArrow(encode, schema)
     dealt = pieces.repartition(parallelism(df.sparkSession), F.xxhash64("doc_id", "piece", "ids_crc32", "length"))
-    ordered = dealt.sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
+    ordered = dealt.sortWithinPartitions(F.xxhash64("ids_crc32", "piece", "doc_id", "length"), "doc_id", "piece", "ids_crc32", "length")
     return ordered.mapInArrow(place, schema + ", sequence_id bigint, offset bigint")
 
 

@@ -279,6 +279,17 @@ def test_packing(spark, odd_rows, docs, none):
     assert packing.pack(none, path).count() == 0
 
 
+def test_packing_of_more_pieces_than_open_bins(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng = random.Random(11)
+    rows = [(i, "the " * rng.randint(20, 110)) for i in range(1500)]
+    found = packing.pack(frame(spark, rows).repartition(3), path, capacity=128, open_bins=40).collect()
+    again = packing.pack(frame(spark, rows[::-1]).repartition(5), path, capacity=128, open_bins=40).collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, again))
+    made, total = len({r.sequence_id for r in found}), sum(r.length for r in found)
+    assert len(found) == 1500 and made <= total / 128 * 1.12
+
+
 # 6: class bigrams
 
 
