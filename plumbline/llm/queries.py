@@ -58,7 +58,16 @@ def op9_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that lose sentences, and which."""
-    found = sentence_dedup.repeated_sentences(_table(spark, sf_dir, "documents"), span=3).filter(F.size("removed") > 0)
+    return _losing(sentence_dedup.repeated_sentences(_table(spark, sf_dir, "documents"), span=3))
+
+
+def op10_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with runs of 20 words too, of however many sentences; ``OP10_SQL`` has runs of three only."""
+    return _losing(sentence_dedup.repeated_sentences(_table(spark, sf_dir, "documents"), span=3, least_words=20))
+
+
+def _losing(found: DataFrame) -> DataFrame:
+    found = found.filter(F.size("removed") > 0)
     return found.select("doc_id", "n_sentences", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed"))
 
 
@@ -128,7 +137,7 @@ FROM d JOIN g ON g.doc_id = d.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_elias_fano, op2_linked_secrets, op3_segments, op4_grace_dedup, op5_best_fit, op6_class_bigrams, op7_jaccard_tiles, op8_edit_matches, op9_disclosure, op10_sentence_spans)}
+    return {f.__name__: f for f in (op1_elias_fano, op2_linked_secrets, op3_segments, op4_grace_dedup, op5_best_fit, op6_class_bigrams, op7_jaccard_tiles, op8_edit_matches, op9_disclosure, op10_sentence_spans, op10_word_runs)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -40,30 +40,49 @@ def run_hashes(parts: list[str], span: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-ROWS = "row bigint, doc_id bigint, starts array<int>, ends array<int>, runs array<bigint>"
+def word_runs(parts: list[str], least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each sentence from which ``least_words`` words follow: hash and size of the shortest run that has them."""
+    h = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in parts], dtype=np.uint64)
+    before = np.cumsum([0] + [x.count(" ") + 1 for x in parts])
+    ends = np.searchsorted(before, before[:-1] + least_words)
+    ends = ends[ends <= len(h)]
+    sizes = ends - np.arange(len(ends))
+    out = np.full(len(ends), least_words, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(int(sizes.max(initial=0))):
+            at = np.flatnonzero(sizes > i)
+            out[at] = (out[at] ^ (out[at] >> np.uint64(31))) * MULT + h[at + i]
+        out = (out ^ (out >> np.uint64(32))) * MULT + ~sizes.astype(np.uint64)
+    return out ^ (out >> np.uint64(29)), sizes
+
+
+ROWS = "row bigint, doc_id bigint, starts array<int>, ends array<int>, runs array<bigint>, sizes array<int>"
 
 
-def _split(span: int, keep_text: bool):
+def _split(span: int, least_words: int | None, keep_text: bool):
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = TaskContext.get().partitionId() << 33
         for batch in column_batches(batches):
-            starts, ends, runs = [], [], []
+            starts, ends, runs, sizes = [], [], [], []
             for text in texts_of(batch):
                 found = sentences(text)
                 starts.append([a for a, _, _ in found])
                 ends.append([b for _, b, _ in found])
-                runs.append(run_hashes([s for _, _, s in found], span).view(np.int64))
+                parts = [s for _, _, s in found]
+                more, size = word_runs(parts, least_words) if least_words else (np.zeros(0, np.uint64), [])
+                runs.append(np.concatenate([run_hashes(parts, span), more]).view(np.int64))
+                sizes.append(size)
             ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
-            columns = [pa.array(range(made, made + batch.num_rows), pa.int64()), batch.column("doc_id"), pa.array(starts, ints), pa.array(ends, ints), pa.array(runs, longs)]
+            columns = [pa.array(range(made, made + batch.num_rows), pa.int64()), batch.column("doc_id"), pa.array(starts, ints), pa.array(ends, ints), pa.array(runs, longs), pa.array(sizes, ints)]
             made += batch.num_rows
-            names = ["row", "doc_id", "starts", "ends", "runs"]
+            names = ["row", "doc_id", "starts", "ends", "runs", "sizes"]
             yield pa.RecordBatch.from_arrays(columns + [batch.column("text")] * keep_text, names + ["text"] * keep_text)
 
     return split
 
 
-def _removed(rows: DataFrame, span: int) -> DataFrame:
-    """(row, removed): ascending numbers of the sentences of a row that a non-first repeated run covers.
+def _removed(rows: DataFrame) -> DataFrame:
+    """(row, ats): numbers of a row's runs that are non-first repeated ones.
 
     A run's first occurrence is the one with the least id (none last), row and place. Counts and first occurrences are
     summed up before the shuffle; runs that more than one in 10,000 occurrences are of are broadcast.
@@ -75,35 +94,37 @@ def _removed(rows: DataFrame, span: int) -> DataFrame:
     total = rows.agg(F.sum(F.size("runs"))).first()[0] or 0
     met = skew_safe_join(places.select("row", "at", "h"), groups, "h", "c", total)
     later = met.filter("row0 is not null and not (row = row0 and at = at0)")
-    covered = later.groupBy("row").agg(F.array_sort(F.collect_set("at")).alias("ats"))
-    every = F.array_sort(F.array_distinct(F.flatten(F.transform("ats", lambda x: F.sequence(x, x + span - 1)))))
-    return covered.select("row", every.alias("removed"))
+    return later.groupBy("row").agg(F.collect_set("at").alias("ats"))
 
 
-def repeated_sentences(df: DataFrame, span: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_sentences(df: DataFrame, span: int = 3, id_col: str = "doc_id", text_col: str = "text", least_words: int | None = None) -> DataFrame:
     """One row per row of ``df``: doc_id, n_sentences, removed (numbers from 0), spans (start and end in code points).
 
     Every run of ``span`` consecutive sentences (all of a text that has fewer) is compared with those of all rows by
     a 64-bit hash of the sentences with single spaces; sentences in any but a run's first occurrence are removed.
+    With ``least_words``, so is every run of consecutive sentences, also a single one, that just reaches so many words.
     Null texts count as empty and have no sentences. Repeated rows, also with the same id, are rows of their own of
     which one is first. Rows without an id come last. Other columns are ignored; an empty table gives no rows.
     """
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return _found(cut(rows.mapInArrow(_split(span, False), ROWS)), span).drop("row")
+    return _found(cut(rows.mapInArrow(_split(span, least_words, False), ROWS)), span).drop("row")
 
 
 def _found(rows: DataFrame, span: int, *more: str) -> DataFrame:
-    both = rows.drop("runs").join(_removed(rows, span), "row", "left")
-    n = F.size("starts")
-    removed = F.filter(F.coalesce("removed", F.array().cast("array<int>")), lambda x: x < n)
+    first = F.size("runs") - F.size("sizes")  # runs of a number of sentences come before those of a number of words
+    both = rows.withColumn("spans", first).drop("runs").join(_removed(rows), "row", "left")
+    n, k = F.size("starts"), F.col("spans")
+    covered = F.transform("ats", lambda x: F.when(x < k, F.sequence(x, x + span - 1)).otherwise(F.sequence(x - k, x - k + F.get("sizes", x - k) - 1)))
+    every = F.array_sort(F.array_distinct(F.flatten(covered)))
+    removed = F.filter(F.coalesce(every, F.array().cast("array<int>")), lambda x: x < n)
     spans = F.transform("removed", lambda x: F.struct(F.get("starts", x).alias("start"), F.get("ends", x).alias("end")))
     return both.select("row", "doc_id", n.cast("long").alias("n_sentences"), removed.alias("removed"), *more, "starts", "ends").select("row", "doc_id", "n_sentences", "removed", spans.alias("spans"), *more)
 
 
-def without_repeats(df: DataFrame, span: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(df: DataFrame, span: int = 3, id_col: str = "doc_id", text_col: str = "text", least_words: int | None = None) -> DataFrame:
     """The rows of :func:`repeated_sentences` with the text that is left when the removed sentences are taken out."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = _found(staged(rows.mapInArrow(_split(span, True), ROWS + ", text string"), "sentences"), span, "text")
+    found = _found(staged(rows.mapInArrow(_split(span, least_words, True), ROWS + ", text string"), "sentences"), span, "text")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in column_batches(batches):

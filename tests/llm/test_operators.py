@@ -524,6 +524,16 @@ def test_repeated_rows_keep_one(spark):
     assert sorted(len(r.removed) for r in found) == [0, 3, 3] and [len(r.removed) for r in found if r.doc_id is None] == [3]
 
 
+def test_repeated_passages_of_few_sentences(spark):
+    rng = random.Random(12)
+    make = lambda n, i: " ".join(f"{rng.choice('abcdef')}{rng.randint(0, 10**6)}x{i}" for _ in range(n))
+    one, two, short = make(53, 0) + ".", make(12, 1) + ". " + make(41, 2) + "!", make(6, 3) + ". " + make(7, 4) + "."
+    rows = [(10 * j + i, f"{make(5, i)}. {p} {make(5, i)}? {make(9, j)}.") for j, p in enumerate((one, two, short)) for i in (1, 2, 3)]
+    find = lambda n: {r.doc_id: r.removed for r in sentence_dedup.repeated_sentences(frame(spark, rows).repartition(3), 3, least_words=n).collect()}
+    assert find(20) == {1: [], 2: [1], 3: [1], 11: [], 12: [1, 2], 13: [1, 2], 21: [], 22: [], 23: []}
+    assert not any(find(None).values())
+
+
 # Shared parts
 
 
