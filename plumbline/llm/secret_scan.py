@@ -15,15 +15,17 @@ from pyspark.sql import functions as F
 from .common import cut
 
 KEY = r"(?i:password|passwd|secret|token|api_?key)"
-#: kind: (role, strong, pattern, group that is measured, its least length, cheap test that every match passes)
+#: kind: (role, strong, pattern, least length of what is measured, cheap test that every match passes). What is measured
+#: is the match without ``LEAD``, if that is given. No pattern repeats a group: Java's matcher would recurse on it.
+LEAD = {"assign": rf"""^{KEY}["']?\x20*[:=]\x20*["']?"""}
 KINDS: dict[str, tuple] = {
-    "assign": ("secret", True, rf"""{KEY}["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 3, 8, rf"""{KEY}["']?\x20*[:=]"""),
-    "access": ("id", True, r"AKIA[A-Z0-9]+", 2, 16, r"AKIA[A-Z0-9]"),
-    "hex": ("secret", True, r"[0-9a-f]+", 2, 32, r"[0-9a-f]{32}"),
-    "user": ("id", False, r"""(?i:user(?:name)?|login|client_?id|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@_.-]{3,}""", 2, 1, r"""(?i:user|name|login|client_?id|account)["']?\x20*[:=]"""),
-    "mail": ("id", False, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", 2, 6, "@"),
-    "blob": ("secret", False, r"(?<![A-Za-z0-9+/_-])(?![0-9a-f]++(?![A-Za-z0-9+/_-]))(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{24,}={0,2}", 2, 24, r"[A-Za-z0-9+/_-]{24}"),
-    "url": ("endpoint", False, r"[a-z][a-z0-9+.-]{1,15}://[^\x20\x09-\x0D\"'<>]+", 2, 8, r"://"),
+    "assign": ("secret", True, rf"""{KEY}["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", 8, rf"""{KEY}["']?\x20*[:=]"""),
+    "access": ("id", True, r"AKIA[A-Z0-9]+", 16, r"AKIA[A-Z0-9]"),
+    "hex": ("secret", True, r"[0-9a-f]+", 32, r"[0-9a-f]{32}"),
+    "user": ("id", False, r"""(?i:user(?:name)?|login|client_?id|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@_.-]{3,}""", 1, r"""(?i:user|name|login|client_?id|account)["']?\x20*[:=]"""),
+    "mail": ("id", False, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+\.[A-Za-z0-9.-]*[A-Za-z0-9-]", 6, "@"),
+    "blob": ("secret", False, r"(?<![A-Za-z0-9+/_-])(?![0-9a-f]++(?![A-Za-z0-9+/_-]))(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{24,}={0,2}", 24, r"[A-Za-z0-9+/_-]{24}"),
+    "url": ("endpoint", False, r"[a-z][a-z0-9+.-]{1,15}://[^\x20\x09-\x0D\"'<>]+", 8, r"://"),
 }
 ORDER = list(KINDS)
 
@@ -31,24 +33,19 @@ ORDER = list(KINDS)
 def _matches(text: Column, kind: str) -> Column:
     """Leftmost matches that don't overlap, as structs of the gap before, the length and whether it is long enough.
 
-    Every hit of the pattern below starts where the last one ended, so gaps and matches tile the text. Hex strings are
-    taken together with shorter runs, as their pattern has it; only runs of enough characters are looked for there,
-    which are the same ones.
+    Matches and what lies between them come from one pass each. Hex strings are taken together with shorter runs, as
+    their pattern has it; only runs of enough characters are looked for there, which are the same ones. A long enough
+    match of another kind may fail as a whole match and be dropped, but not begin later.
     """
-    _, _, pattern, group, least, test = KINDS[kind]
+    _, _, pattern, least, test = KINDS[kind]
     if kind == "hex":
         pattern = rf"[0-9a-f]{{{least},}}"
-    tiled = rf"\G([\s\S]*?)({pattern})"
-    found = [F.regexp_extract_all(text, F.lit(tiled), F.lit(g)) for g in dict.fromkeys((1, 2, group))]
+    both = F.arrays_zip(F.split(text, pattern).alias("gap"), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)).alias("own"))
+    both = F.filter(both, lambda x: x["own"].isNotNull())  # the text ends with a gap
+    measured = (lambda x: F.regexp_replace(x, LEAD[kind], "")) if kind in LEAD else (lambda x: x)
     rows = F.transform(
-        F.arrays_zip(*[x.alias(f"x{i}") for i, x in enumerate(found)]),
-        lambda x, i: F.struct(
-            F.lit(kind).alias("kind"),
-            i.cast("int").alias("at"),
-            F.length(x["x0"]).alias("gap"),
-            F.length(x["x1"]).alias("size"),
-            (F.length(x["x2" if group > 2 else "x1"]) >= least).alias("fits"),
-        ),
+        both,
+        lambda x, i: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("at"), F.length(x["gap"]).alias("gap"), F.length(x["own"]).alias("size"), (F.length(measured(x["own"])) >= least).alias("fits")),
     )
     quick = text.contains(test) if test in ("://", "@") else text.rlike(test)
     return F.when(quick, rows).otherwise(F.array().cast("array<struct<kind:string,at:int,gap:int,size:int,fits:boolean>>"))
@@ -89,8 +86,8 @@ def secrets(df: DataFrame, scope: int = 200, id_col: str = "doc_id", text_col: s
     """One row per row of ``df``: doc_id, n_assign, n_access, n_hex, base_sha256, spans (and found, the spans as structs).
 
     Null texts count as empty and have no spans. Rows without an id and repeated rows have results of their own;
-    parts link within one row only. Parts of the same kind never overlap, those of different kinds may. Other columns
-    are ignored; an empty table gives no rows.
+    parts link within one row only. Parts of the same kind never overlap, those of different kinds may. Very long texts
+    are matched whole, in space that doesn't grow with a match. Other columns are ignored; an empty table gives no rows.
     """
     found = cut(parts(df, id_col, text_col))
     strong = [k for k, v in KINDS.items() if v[1]]
