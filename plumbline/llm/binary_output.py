@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column_batches, parallelism, shared_path
+from .common import column_batches, partitions, shared_path
 from .tokens import encoder
 
 MAGIC, HEAD = b"PLEF", struct.Struct("<4sBBBxQQQQ")
@@ -111,7 +111,7 @@ def write_tokens(
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    shards = parallelism(spark) * 2
+    shards = partitions(df) * 2
     steps = [i / shards for i in range(1, shards)]
     cuts = rows.agg(F.percentile_approx("doc_id", steps, 100 * shards).alias("c")).first()["c"] or []
     cuts = sorted(set(cuts))

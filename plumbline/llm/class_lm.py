@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, bytes_of, column_batches, crc_mod_column, cut, parallelism, staged
+from .common import SPACES, bytes_of, column_batches, crc_mod_column, cut, partitions, send, staged
 
 CLASSES, TAILS, CLUSTERED, COMMON = 32, 31, 8192, 400_000
 #: Class numbers: 0 the end, then exchanged ones, then those of last letters.
@@ -141,10 +141,10 @@ def _gathered(train: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, np.
 
     Each task sends one row of fixed size for each block of words; a block's sum reaches the driver (16 MB in all).
     """
-    held = train.sparkSession.sparkContext.broadcast(vocabulary)
+    held = send(train.sparkSession, vocabulary)
     parts = train.mapInArrow(_neighbours(held), "block int, width int, data binary")
     # the tasks' rows are summed up in two steps, so none has to read them all, and one row for a block is left
-    form, n = "block int, width int, data binary", parallelism(train.sparkSession)
+    form, n = "block int, width int, data binary", partitions(train)
     fan = F.pmod(F.xxhash64(F.spark_partition_id(), "block"), F.lit(16))
     first = parts.withColumn("fan", fan).repartition(n, "block", "fan").select("block", "width", "data").mapInArrow(_summed, form)
     rows = first.repartition(n, "block").mapInArrow(_summed, form).toArrow()
@@ -273,7 +273,7 @@ def class_scores(df: DataFrame, rounds: int = 3, id_col: str = "doc_id", text_co
         members[r["cls"]] += r["k"]
         sizes[r["cls"]] += r["n"]
     model = Model(vocabulary, pairs, members, sizes)
-    held = spark.sparkContext.broadcast(model)
+    held = send(spark, model)
     parts = cut(rows.mapInArrow(_scored(held, texts), PARTS))
     below = F.get(F.array(*[F.lit(float(x)) for x in model.below]), F.col("cls"))
     tokens = parts.select("row", F.explode("rare").alias("x")).select("row", "x.*")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, bytes_of, column_batches, kept, rows_where
+from .common import LOWER, bytes_of, column_batches, kept, rows_where, send, trimmed, unsend
 
 HITS = "doc_id bigint, item_id bigint, distance int, start bigint, end bigint"
 
@@ -160,10 +160,11 @@ def contaminated(
     Items are a query set: blocks of about ``block_bytes`` of them, in as many scans as there are blocks, are sent to
     the tasks and searched in all whole texts.
     """
+    unsend()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = None
     for held in _blocks(items, rate, block_bytes, item_id_col, item_text_col):
-        hits = rows.mapInArrow(_search(held), HITS)
+        hits = rows.mapInArrow(trimmed(_search(held)), HITS)
         found = hits if found is None else found.unionByName(hits)
     return found
 
@@ -177,7 +178,7 @@ def _blocks(items: DataFrame, rate: float, block_bytes: int, item_id_col: str, i
         part = query.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toArrow().to_pylist()
         texts = [(x["item_id"], normalised(x["text"].encode())) for x in part]
         texts.sort(key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-        yield items.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, texts, rate))
+        yield send(items.sparkSession, (uuid.uuid4().hex, texts, rate))
 
 
 def _matcher(held) -> Matcher:
@@ -187,7 +188,8 @@ def _matcher(held) -> Matcher:
 
 
 def clean(docs: DataFrame, items: DataFrame, rate: float = 0.08, block_bytes: int = 2 << 20, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all columns, that hold no item."""
+    """The rows of ``docs``, with all columns, that hold no item; texts and items count as in :func:`contaminated`."""
+    unsend()
     for held in _blocks(items, rate, block_bytes, item_id_col, item_text_col):
 
         def keep(texts: list[bytes], held=held) -> list[bool]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, bytes_of, column_batches, forget, parallelism, staged
+from .common import SPACES, bytes_of, column_batches, forget, partitions, staged, trimmed, unsend
 
 #: Contents of a task that are held in memory at once; what is beyond goes to spill files.
 MEMORY = 48 << 20
@@ -57,32 +57,30 @@ class Table:
             self.slots[at] = entry
 
 
-def grace(records: Iterator[tuple], level: int = 0, memory: int = MEMORY) -> Iterator[tuple[bytes, list]]:
-    """Groups of equal contents from records (digest, content, item); item is whatever is gathered.
+def grace(records: Iterator[tuple], level: int = 0, memory: int = MEMORY, fold: Callable | None = None) -> Iterator[tuple]:
+    """Groups of equal contents from records (digest, content, item): (digest, items).
+
+    With ``fold`` a group has one item, to which ``fold(kept, next)`` reduces them as they come; so a content that
+    comes very often takes no more room than any other. Without it, items are gathered and should be small.
 
     Records go into one table while their distinct contents fit in ``memory``. From then on those whose content the
     table has still join it, and the others are dealt by the next digit of their digest to ``FANOUT`` spill files,
     each of which is done the same way. The files are nameless and vanish with the task. A digest has 64 digits; if
     they run out (equal digests of different contents), the rest is done in memory.
     """
-    table, items, size, spills = Table(), [], 0, None
+    table, items, size, spills, known = Table(), [], 0, None, set()
     for digest, content, item in records:
-        if spills is None or level >= 64:
+        if spills is None or level >= 64 or digest in known:
             entry, new = table.find(digest, content)
             if new:
-                items.append([])
+                items.append(item if fold else [item])
                 size += len(content)
-            items[entry].append(item)
-            if size > memory and spills is None and level < 64:
-                spills = [tempfile.TemporaryFile() for _ in range(FANOUT)]
-                known = {d: None for d in table.digests}
-            continue
-        if digest in known:
-            entry, new = table.find(digest, content)
-            if not new:
+            elif fold:
+                items[entry] = fold(items[entry], item)
+            else:
                 items[entry].append(item)
-                continue
-            items.append([item])
+            if size > memory and spills is None and level < 64:
+                spills, known = [tempfile.TemporaryFile() for _ in range(FANOUT)], set(table.digests)
             continue
         digit = digest[level >> 1] >> (4 * (level & 1)) & 15
         pickle.dump((digest, content, item), spills[digit], protocol=5)
@@ -92,7 +90,7 @@ def grace(records: Iterator[tuple], level: int = 0, memory: int = MEMORY) -> Ite
     for f in spills or ():
         f.seek(0)
         with f:
-            yield from grace(_spilled(f), level + 1, memory)
+            yield from grace(_spilled(f), level + 1, memory, fold)
 
 
 def _spilled(f) -> Iterator[tuple]:
@@ -192,7 +190,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("n", F.length(F.coalesce("text", F.lit(""))).cast("long"))
     entries = staged(rows.mapInArrow(_local, ENTRIES), "entries")
-    dealt = entries.select("entry", "digest", "text", "best", "count").repartition(parallelism(df.sparkSession), F.col("digest"))
+    dealt = entries.select("entry", "digest", "text", "best", "count").repartition(partitions(df), F.col("digest"))
     groups = dealt.mapInArrow(_buckets, GROUPS)
     members = entries.select("entry", F.posexplode("members").alias("at", "member"))
     return members.join(groups, "entry").select(
@@ -239,8 +237,10 @@ def _rows_local(batches: Iterator[pa.RecordBatch], run_bytes: int = 24 << 20) ->
 def exact_keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that :func:`exact_groups` keeps, with all their columns, in one shuffle.
 
-    Columns of any name stay as they are; the kept rows are whole rows, so repeated rows leave one.
+    Columns of any name stay as they are; the kept rows are whole rows, so repeated rows leave one. Null and very long
+    texts, ties and empty tables count as there.
     """
+    unsend()
     names = df.columns
     packed = df.select(
         F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c != text_col]).alias("row"),
@@ -249,35 +249,31 @@ def exact_keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.length(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).cast("long").alias("_n"),
     )
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in packed.schema)
-    local = packed.mapInArrow(_rows_local, schema + ", digest binary, entry bigint")
-    dealt = local.repartition(parallelism(df.sparkSession), F.col("digest"))
+    local = packed.mapInArrow(trimmed(_rows_local), schema + ", digest binary, entry bigint")
+    dealt = local.repartition(partitions(df), F.col("digest"))
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows go through the table and its spill files as one-row Arrow data."""
+        """The rows go through the table and its spill files; of equal contents the best so far is held."""
         form = None
 
         def records() -> Iterator[tuple]:
             nonlocal form
-            for batch in column_batches(batches):
-                form = form or batch.schema
+            for batch in column_batches(batches, 4 << 20):
                 rest = batch.select(["row", "_text", "_id", "_n"])
-                for i, (digest, text, doc_id, n, entry) in enumerate(zip(batch.column("digest").to_pylist(), bytes_of(batch, "_text"), batch.column("_id").to_pylist(), batch.column("_n").to_pylist(), batch.column("entry").to_pylist())):
-                    rank = (-n, doc_id is None, doc_id or 0, entry)
-                    yield digest, normalised(text), (rank, rest.slice(i, 1).to_pylist()[0])
+                form = form or rest.schema
+                for row, digest, entry, text in zip(rest.to_pylist(), batch.column("digest").to_pylist(), batch.column("entry").to_pylist(), bytes_of(batch, "_text")):
+                    yield digest, normalised(text), ((-row["_n"], row["_id"] is None, row["_id"] or 0, entry), row)
 
         held, size = [], 0
-        for _, items in grace(records(), memory=MEMORY // 2):
-            held.append(min(items, key=lambda x: x[0])[1])
-            size += len(held[-1]["_text"] or "")
+        for _, (_, row) in grace(records(), memory=MEMORY // 2, fold=lambda a, b: min(a, b, key=lambda x: x[0])):
+            held.append(row)
+            size += len(row["_text"] or "")
             if size > 4 << 20:
-                yield pa.RecordBatch.from_pylist(held, form_of(form))
+                yield pa.RecordBatch.from_pylist(held, form)
                 held, size = [], 0
         if held:
-            yield pa.RecordBatch.from_pylist(held, form_of(form))
-
-    def form_of(schema_: pa.Schema) -> pa.Schema:
-        return pa.schema([schema_.field(n) for n in ("row", "_text", "_id", "_n")])
+            yield pa.RecordBatch.from_pylist(held, form)
 
-    chosen = dealt.mapInArrow(bucket, schema)
+    chosen = dealt.mapInArrow(trimmed(bucket), schema)
     kinds = dict(df.dtypes)
     return chosen.select(*[F.col("_text").cast(kinds[c]).alias(c) if c == text_col else F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, parallelism
+from .common import cut
 
 #: Edges of a partition in the rounds.
 EDGES = 50_000
@@ -25,8 +25,8 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     joins are plain ones, which adaptive execution splits where a vertex has very many edges.
     """
     edges = edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).filter("u > v").distinct()
-    edges, mark, most = cut(edges), None, parallelism(edges.sparkSession)
-    parts = lambda df: df.coalesce(min(most, now[0] // EDGES + 1))  # noqa: E731  few edges make few small files
+    edges, mark = cut(edges), None
+    parts = lambda df: df.coalesce(now[0] // EDGES + 1)  # noqa: E731  few edges make few small files
     now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     while now != mark:
         edges = parts(edges)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, bytes_of, column_batches, crc_mod_column, cut, forget, id_marks, marked, parallelism, skew_safe_join
+from .common import LOWER, bytes_of, column_batches, crc_mod_column, cut, forget, id_marks, marked, partitions, send, skew_safe_join, trimmed, unsend
 from .graph import components
 
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -36,7 +36,7 @@ MULT = np.uint64(0x9E3779B97F4A7C15)
 class Shingler:
     """Sorted arrays of 64-bit hashes of a text's distinct shingles of ``k`` words."""
 
-    def __init__(self, k: int, limit: int = 200_000):
+    def __init__(self, k: int, limit: int = 50_000):
         self.k, self.limit, self.memo = k, limit, {}
 
     def words(self, text: bytes) -> list[bytes]:
@@ -115,7 +115,7 @@ def _hot_shingles(rows: DataFrame, k: int, most: int = 1 << 20) -> tuple[np.ndar
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["h"])
 
     sample = rows.filter(crc_mod_column("doc_id", 16) == 5)
-    counts = cut(sample.mapInArrow(shingles, "h bigint").groupBy("h").agg(F.count("*").alias("c")).filter("c >= 3"))
+    counts = cut(sample.mapInArrow(trimmed(shingles), "h bigint").groupBy("h").agg(F.count("*").alias("c")).filter("c >= 3"))
     # the least count that leaves ``most`` shingles at most; there are few distinct counts
     levels = counts.groupBy("c").agg(F.count("*").alias("k")).orderBy(F.desc("c")).toArrow()
     fits = np.cumsum(levels.column("k").to_numpy()) <= most
@@ -128,7 +128,7 @@ def _hot_shingles(rows: DataFrame, k: int, most: int = 1 << 20) -> tuple[np.ndar
 
 def _facts(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
     hot_h, hot_c = _hot_shingles(rows, k)
-    hot = rows.sparkSession.sparkContext.broadcast((hot_h, hot_c))
+    hot = send(rows.sparkSession, (hot_h, hot_c))
 
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -151,13 +151,13 @@ def _facts(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 bands.append(band_of(n, num, den) if n else None)
                 bits.append(signature)
                 prefixes.append(prefix)
-            if len(seen) > 200_000:
+            if len(seen) > 50_000:
                 seen.clear()
             kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
             columns = [pa.array(c, t) for c, t in zip((ns, nodes, digests, bands, bits, prefixes), kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n", "node", "digest", "band", "bits", "prefix"])
 
-    return cut(rows.mapInArrow(facts, FACTS))
+    return cut(rows.mapInArrow(trimmed(facts), FACTS))
 
 
 def _prefix(values: np.ndarray, length: int, hot: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -269,7 +269,7 @@ def _unconnected(num: int, den: int, tile: int = 256):
 
 def _arrays(rows: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(node, hashes) of the documents in ``ids`` (and of a few others that its hashed marks let through)."""
-    marks = rows.sparkSession.sparkContext.broadcast(id_marks(ids))
+    marks = send(rows.sparkSession, id_marks(ids))
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler(k)
@@ -280,7 +280,7 @@ def _arrays(rows: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 columns = [pa.array([node_of(v)[0] for v in found], pa.int64()), pa.array([v.tobytes() for v in found], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["node", "hashes"])
 
-    return rows.mapInArrow(arrays, "node bigint, hashes binary")
+    return rows.mapInArrow(trimmed(arrays), "node bigint, hashes binary")
 
 
 def _bounded(num: int, den: int):
@@ -344,6 +344,7 @@ def near_components(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id
     without an id have no component and take no part; rows that share an id are one document of several texts: all
     get one component. Other columns are ignored; an empty table gives no rows.
     """
+    unsend()
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     facts = _facts(rows, k, num, den)
     full = facts.filter("node is not null and doc_id is not null")
@@ -353,7 +354,7 @@ def near_components(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id
     nodes = cut(grouped.filter(sound).select("node", "rep", "copies"))
 
     tiles = full.filter("prefix is not null").select(F.explode("prefix").alias("h"), "band", "node")
-    dealt = tiles.repartition(parallelism(df.sparkSession), F.col("h")).sortWithinPartitions("h", "band", "node")
+    dealt = tiles.repartition(partitions(df), F.col("h")).sortWithinPartitions("h", "band", "node")
     runs = cut(dealt.mapInArrow(_leaders, "h bigint, band int, node bigint, lead bigint"))
 
     stars = cut(runs.filter("node != lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct())
@@ -373,7 +374,7 @@ def near_components(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id
     open_runs = cut(_mixed(mixed.select("h", "band", "node"), links))
     plain = open_runs.filter(F.col("size") <= SMALL).select("h", "band", "node", "comp", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("binary").alias("bits"))
     large = open_runs.filter(F.col("size") > SMALL).join(sizes, "node").select("h", "band", "node", "comp", "n", "bits")
-    dealt = plain.unionByName(large).repartition(parallelism(df.sparkSession), F.col("h")).sortWithinPartitions("h", "band", "node")
+    dealt = plain.unionByName(large).repartition(partitions(df), F.col("h")).sortWithinPartitions("h", "band", "node")
     rest = dealt.mapInArrow(_unconnected(num, den), "a bigint, b bigint").distinct()
     rest = rest.join(stars.unionByName(more), ["a", "b"], "left_anti")
     links = links.unionByName(_verified(rest, sizes, nodes, rows, k, num, den))

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_batches, parallelism
+from .common import bytes_in, column_batches, trimmed, unsend
 from .tokens import encoder
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -95,6 +95,7 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     with_ids: bool = False,
+    batch_bytes: int = 4 << 20,
 ) -> DataFrame:
     """Pack all texts into sequences of at most ``capacity`` ids; one row per piece, with its ids if asked for.
 
@@ -103,14 +104,16 @@ def pack(
     and document, ordered within a task by another, and packed in groups of ``open_bins`` pieces, each from long to
     short. A group fills no more bins than can be open, so the long pieces' bins stay open until the group's short
     pieces come, however many a task has; bins that are still open take pieces of later groups. The result doesn't
-    depend on the order of arrival. ``sequence_id`` is the task's number and the bin's.
+    depend on the order of arrival. ``sequence_id`` is the task's number and the bin's. Very long texts are encoded
+    whole and cut into as many pieces as they need; ``batch_bytes`` of text are encoded at a time, or one text.
     """
+    unsend()
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = PIECES + (", ids binary" if with_ids else "")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
-        for batch in column_batches(batches, 8 << 20):
+        for batch in column_batches(batches, batch_bytes):
             out: list[list] = [[], [], [], [], [], []]
             every, ends = enc.encode_column(batch.column("text"), end_id)
             for doc_id, first, last in zip(batch.column("doc_id").to_pylist(), [0, *ends.tolist()], ends.tolist()):
@@ -132,8 +135,10 @@ def pack(
             group = group.append_column("sequence_id", pa.array(put[:, 0] + base, pa.int64())).append_column("offset", pa.array(put[:, 1], pa.int64()))
             yield from group.to_batches()
 
-    pieces = rows.mapInArrow(encode, schema)
-    dealt = pieces.repartition(parallelism(df.sparkSession), F.xxhash64("doc_id", "piece", "ids_crc32", "length"))
+    pieces = rows.mapInArrow(trimmed(encode), schema)
+    size = bytes_in(df)  # a task's last bins stay open, so there are no more tasks than the input gives work to
+    tasks = max(1, min(size // (4 << 20), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), size // (512 << 20))
+    dealt = pieces.repartition(tasks, F.xxhash64("doc_id", "piece", "ids_crc32", "length"))
     ordered = dealt.sortWithinPartitions(F.xxhash64("ids_crc32", "piece", "doc_id", "length"), "doc_id", "piece", "ids_crc32", "length")
     return ordered.mapInArrow(place, schema + ", sequence_id bigint, offset bigint")
 

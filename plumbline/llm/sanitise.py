@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_batches, cut, texts_of
+from .common import bitmap, column_batches, cut, send, texts_of, trimmed, unsend
 
 # Base patterns; the order of the kinds is fixed.
 KINDS = ("email", "ip", "card", "phone", "term", "hint")
@@ -141,12 +141,9 @@ def _marks(terms: DataFrame) -> np.ndarray:
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_slot(t) for t in batch.column("term").to_pylist()], pa.int64())], ["slot"])
+            yield pa.RecordBatch.from_arrays([pa.array([_slot(t) for t in batch.column("term").to_pylist()], pa.int64())], ["place"])
 
-    marks = np.zeros(SLOTS // 8, dtype=np.uint8)
-    at = terms.mapInArrow(slots, "slot bigint").distinct().toArrow().column("slot").to_numpy()  # SLOTS rows at most
-    np.bitwise_or.at(marks, at >> 3, (1 << (at & 7)).astype(np.uint8))
-    return marks
+    return bitmap(terms.mapInArrow(slots, "place bigint"), SLOTS).view(np.uint8)
 
 
 class _Marked:
@@ -174,7 +171,7 @@ class _Marked:
 
 def _holding(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, nt): how many rows hold each term, summed up by each task before the shuffle."""
-    held = rows.sparkSession.sparkContext.broadcast(_marks(terms))
+    held = send(rows.sparkSession, _marks(terms))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, int] = {}
@@ -192,14 +189,14 @@ def _holding(rows: DataFrame, terms: DataFrame) -> DataFrame:
                 total.clear()
         yield from out()
 
-    summed = rows.mapInArrow(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("nt"))
+    summed = rows.mapInArrow(trimmed(count), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("nt"))
     return summed.join(terms, "term", "left_semi")
 
 
 def _occurrences(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, doc_id, content, start, end) of all occurrences in all texts; the bitmap tells the tasks which words to
     hand on, and a join with the terms decides."""
-    held = rows.sparkSession.sparkContext.broadcast(_marks(terms))
+    held = send(rows.sparkSession, _marks(terms))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
@@ -217,7 +214,7 @@ def _occurrences(rows: DataFrame, terms: DataFrame) -> DataFrame:
                 kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["term", "doc_id", "content", "start", "end"])
 
-    found = rows.mapInArrow(find, "term string, doc_id bigint, content bigint, start int, end int")
+    found = rows.mapInArrow(trimmed(find), "term string, doc_id bigint, content bigint, start int, end int")
     return found.distinct().join(terms, "term")
 
 
@@ -237,10 +234,12 @@ def disclosures(
     in lower case) is a ``term`` or a ``hint`` where its highest share of an entity's information reaches ``remove`` or
     ``generalise``, among entities that it shares ``support`` distinct contexts or texts with: repeated rows add none.
     Null texts count as empty and have no spans. Rows without an id and repeated rows have results of their own; the
-    latter count as often as they occur. Other columns are ignored; an empty table gives no rows.
+    latter count as often as they occur. Very long texts are searched whole; terms are candidates only near an entity.
+    Other columns are ignored; an empty table gives no rows.
     """
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scanned = cut(rows.mapInArrow(_scan(words, reach), ROWS))
+    unsend()
+    scanned = cut(rows.mapInArrow(trimmed(_scan(words, reach)), ROWS))
     documents = scanned.count()
     mentions = scanned.filter(F.size("mentions") > 0).select(F.monotonically_increasing_id().alias("row"), "content", F.explode("mentions").alias("m")).select("row", "content", "m.*")
     holders = mentions.groupBy("entity").agg(F.count_distinct("row").alias("ne"))

@@ -27,7 +27,7 @@ class Encoder:
     tokenizer gets its texts whole. Special tokens' strings in a text are ordinary text.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 50_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

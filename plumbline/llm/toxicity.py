@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_batches, crc_mod_column, forget, rows_where, texts_of
+from .common import column_batches, crc_mod_column, forget, rows_where, send, staged, texts_of, trimmed, unsend
 
 WORD = re.compile(r"[^\W_]+")
 PREFIXES = (3, 4, 5, 6)
@@ -67,7 +67,7 @@ class Model:
         memo = self.memo
         got = list(map(memo.get, pieces))
         if None in got:
-            if len(memo) > 250_000:
+            if len(memo) > 100_000:
                 memo.clear()
             for x in {x for x, s in zip(pieces, got) if s is None}:
                 memo[x] = self.raw_score(x)
@@ -189,6 +189,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, id_col: str
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sample = rows.join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0).alias("held"))
+    unsend()
+    sample = staged(sample, "sample")  # counts, totals and the calibration read it
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def docs_of() -> Iterator[tuple[str, int]]:
@@ -200,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, id_col: str
             columns = [pa.array(list(got), pa.string()), *[pa.array([x[i] for x in got.values()], pa.int64()) for i in (0, 1)]]
             yield pa.RecordBatch.from_arrays(columns, ["name", "c", "c1"])
 
-    gathered = sample.filter("not held").mapInArrow(counts, "name string, c bigint, c1 bigint")
+    gathered = sample.filter("not held").mapInArrow(trimmed(counts), "name string, c bigint, c1 bigint")
     table = gathered.groupBy("name").agg(F.sum("c").alias("c"), F.sum("c1").alias("c1")).filter("c >= 2").toArrow().to_pydict()
     totals = {(r["held"], r["toxic"] > 0): r["count"] for r in sample.groupBy("held", "toxic").count().collect()}
     every = sum(n for (held, _), n in totals.items() if not held)
@@ -212,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, id_col: str
 
 def calibrate_with(model: Model, seen: DataFrame) -> None:
     """:func:`calibrate` on the texts of a DataFrame, which are reduced to their tokens' scores by the tasks."""
-    held = seen.sparkSession.sparkContext.broadcast(model)
+    held = send(seen.sparkSession, model)
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
@@ -246,7 +248,7 @@ def segment_rows(df: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     repeated rows are scored like others, extra columns are ignored, an empty table gives no rows. ``model`` is of
     bounded size (see :func:`fit`) and sent to the tasks.
     """
-    held = df.sparkSession.sparkContext.broadcast(model)
+    held = send(df.sparkSession, model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -266,7 +268,7 @@ def segment_rows(df: DataFrame, model: Model, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(passages, kind)], ["doc_id", "score", "segments"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(score, "doc_id bigint, score double, segments array<struct<start:bigint,end:bigint,score:double,expected:double>>")
+    return rows.mapInArrow(trimmed(score), "doc_id bigint, score double, segments array<struct<start:bigint,end:bigint,score:double,expected:double>>")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most_rows: int = 20_000) -> DataFrame:
@@ -278,8 +280,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most_ro
 
 
 def acceptable(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most_rows: int = 20_000, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all columns, that :func:`toxicity` doesn't predict as toxic."""
-    held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, most_rows, text_col=text_col, train=crc_mod_column("doc_id", 3) != 1))
+    """The rows of ``docs``, with all columns, that :func:`toxicity` doesn't predict as toxic; nulls, very long texts
+    and repeated rows are scored as there."""
+    held = send(docs.sparkSession, fit(docs, labels, most_rows, text_col=text_col, train=crc_mod_column("doc_id", 3) != 1))
 
     def keep(texts: list[bytes]) -> list[bool]:
         m, out = held.value, []
