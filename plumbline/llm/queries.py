@@ -57,18 +57,13 @@ def op9_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that lose sentences, and which."""
-    return _losing(sentence_dedup.repeated_sentences(_table(spark, sf_dir, "documents"), span=3))
+    """The documents that share a passage with another one: which sentences, and which of all theirs are removed.
 
-
-def op10_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with runs of 20 words too, of however many sentences; ``OP10_SQL`` has runs of three only."""
-    return _losing(sentence_dedup.repeated_sentences(_table(spark, sf_dir, "documents"), span=3, least_words=20))
-
-
-def _losing(found: DataFrame) -> DataFrame:
-    found = found.filter(F.size("removed") > 0)
-    return found.select("doc_id", "n_sentences", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed"))
+    Each holder of a passage has a row, the first one too, which loses nothing by it.
+    """
+    found = sentence_dedup.repeated_sentences(_table(spark, sf_dir, "documents"), span=2, least_words=25).filter(F.size("shared") > 0)
+    both = [x for c in ("removed", "shared") for x in (F.size(c).cast("long").alias(f"n_{c}"), F.array_join(c, ",").alias(c))]
+    return found.select("doc_id", "n_sentences", *both)
 
 
 OP4_SQL = """
@@ -120,24 +115,32 @@ WITH d AS (
   SELECT doc_id, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?]*'),
          lambda x: trim(regexp_replace(x, '[ \t-\r]+', ' ', 'g'), ' ')), lambda x: x <> '') AS s
   FROM documents
-), r AS (
-  SELECT doc_id, len(s) AS n, unnest(range(0, greatest(len(s) - 3, 0) + 1)) AS pos, s FROM d WHERE len(s) > 0
+), w AS (
+  SELECT doc_id, unnest(range(0, len(s))) AS pos, unnest(list_transform(s, lambda x: len(string_split(x, ' ')))) AS words FROM d
+), b AS (
+  SELECT doc_id, pos, words, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM w
+), e AS (
+  SELECT x.doc_id, x.pos, CASE WHEN x.words >= 50 THEN x.pos + 1 WHEN y.pos IS NOT NULL THEN greatest(x.pos + 2, y.pos + 1) END AS stop
+  FROM b x ASOF LEFT JOIN b y ON x.doc_id = y.doc_id AND x.upto - x.words + 25 <= y.upto
 ), h AS (
-  SELECT doc_id, n, pos, array_to_string(s[pos + 1:pos + 3], chr(10)) AS h FROM r
+  SELECT e.doc_id, pos, stop, array_to_string(s[pos + 1:stop], chr(10)) AS h FROM e JOIN d ON d.doc_id = e.doc_id WHERE stop <= len(s)
 ), o AS (
-  SELECT *, row_number() OVER (PARTITION BY h, n >= 3, CASE WHEN n < 3 THEN n END ORDER BY doc_id, pos) AS k FROM h
+  SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, pos) AS k,
+         min(doc_id) OVER (PARTITION BY h) < max(doc_id) OVER (PARTITION BY h) AS shared FROM h
 ), c AS (
-  SELECT DISTINCT doc_id, unnest(range(pos, least(pos + 3, n))) AS i FROM o WHERE k > 1
-), g AS (
-  SELECT doc_id, count(*) AS n_removed, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS removed FROM c GROUP BY doc_id
+  SELECT doc_id, unnest(range(pos, stop)) AS i, k > 1 AS later, shared FROM o
+), i AS (
+  SELECT doc_id, i, bool_or(later) AS later, bool_or(shared) AS shared FROM c GROUP BY doc_id, i
 )
-SELECT d.doc_id, CAST(len(s) AS BIGINT) AS n_sentences, n_removed, removed
-FROM d JOIN g ON g.doc_id = d.doc_id
+SELECT d.doc_id, CAST(any_value(len(s)) AS BIGINT) AS n_sentences,
+       count(*) FILTER (WHERE later) AS n_removed, coalesce(string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FILTER (WHERE later), '') AS removed,
+       count(*) FILTER (WHERE shared) AS n_shared, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FILTER (WHERE shared) AS shared
+FROM d JOIN i ON i.doc_id = d.doc_id GROUP BY d.doc_id HAVING bool_or(shared)
 """
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_elias_fano, op2_linked_secrets, op3_segments, op4_grace_dedup, op5_best_fit, op6_class_bigrams, op7_jaccard_tiles, op8_edit_matches, op9_disclosure, op10_sentence_spans, op10_word_runs)}
+    return {f.__name__: f for f in (op1_elias_fano, op2_linked_secrets, op3_segments, op4_grace_dedup, op5_best_fit, op6_class_bigrams, op7_jaccard_tiles, op8_edit_matches, op9_disclosure, op10_sentence_spans)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -12,12 +12,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_batches, cut, skew_safe_join, staged, texts_of
+from .common import column_batches, cut, skew_safe_join, staged, texts_of, trimmed
 
 #: A sentence: no mark or line end, then the marks that end it.
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 BLANKS = re.compile(r"[\x20\x09-\x0D]+")
 MULT = np.uint64(0x9E3779B97F4A7C15)
+KEPT = ["doc_id", "n_sentences", "removed", "shared", "spans"]
 
 
 def sentences(text: str) -> list[tuple[int, int, str]]:
@@ -26,105 +27,105 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
     return [x for x in found if x[2]]
 
 
-def run_hashes(parts: list[str], span: int) -> np.ndarray:
-    """A 64-bit hash of each run of ``span`` sentences, or of all of them if there are fewer."""
-    h = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in parts], dtype=np.uint64)
-    k = min(span, len(h))
-    if not k:
-        return h
-    with np.errstate(over="ignore"):
-        out = h[: len(h) - k + 1].copy()
-        for i in range(1, k):
-            out = (out ^ (out >> np.uint64(31))) * MULT + h[i : len(h) - k + 1 + i]
-        out = (out ^ (out >> np.uint64(32))) * MULT + np.uint64(k)
-    return out ^ (out >> np.uint64(29))
-
-
-def word_runs(parts: list[str], least_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each sentence from which ``least_words`` words follow: hash and size of the shortest run that has them."""
-    h = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in parts], dtype=np.uint64)
-    before = np.cumsum([0] + [x.count(" ") + 1 for x in parts])
-    ends = np.searchsorted(before, before[:-1] + least_words)
-    ends = ends[ends <= len(h)]
-    sizes = ends - np.arange(len(ends))
-    out = np.full(len(ends), least_words, dtype=np.uint64)
+def runs_of(parts: list[str], span: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each sentence: two 64-bit hashes of its run, and the run's size, which is 0 where the text ends too early.
+
+    A sentence's run are the consecutive sentences from it on until they are ``span`` at least and have
+    ``least_words`` words, or the sentence alone if it has twice as many.
+    """
+    raw = b"".join(xxhash.xxh3_128_digest(x.encode()) for x in parts)
+    h = np.frombuffer(raw, "<u8").reshape(-1, 2).astype(np.uint64)
+    words = np.array([x.count(" ") + 1 for x in parts], dtype=np.int64)
+    at, before = np.arange(len(h)), np.concatenate([[0], np.cumsum(words)])
+    ends = np.maximum(np.searchsorted(before, before[:-1] + least_words), at + span)
+    ends = np.where(words >= 2 * least_words, at + 1, ends)
+    sizes = np.where(ends <= len(h), ends - at, 0)
+    out = np.full((len(sizes), 2), least_words, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for i in range(int(sizes.max(initial=0))):
-            at = np.flatnonzero(sizes > i)
-            out[at] = (out[at] ^ (out[at] >> np.uint64(31))) * MULT + h[at + i]
-        out = (out ^ (out >> np.uint64(32))) * MULT + ~sizes.astype(np.uint64)
-    return out ^ (out >> np.uint64(29)), sizes
+            on = np.flatnonzero(sizes > i)
+            out[on] = (out[on] ^ (out[on] >> np.uint64(31))) * MULT + h[on + i]
+        out = (out ^ (out >> np.uint64(32))) * MULT + sizes[:, None].astype(np.uint64)
+    out ^= out >> np.uint64(29)
+    return out[:, 0], out[:, 1], sizes
+
 
+ROWS = "row bigint, doc_id bigint, starts array<int>, ends array<int>, runs array<struct<a:bigint,b:bigint>>, sizes array<int>"
 
-ROWS = "row bigint, doc_id bigint, starts array<int>, ends array<int>, runs array<bigint>, sizes array<int>"
 
+def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in values])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, kind.to_pandas_dtype()), *values]).astype(kind.to_pandas_dtype()), kind))
 
-def _split(span: int, least_words: int | None, keep_text: bool):
+
+def _split(span: int, least_words: int, keep_text: bool):
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = TaskContext.get().partitionId() << 33
         for batch in column_batches(batches):
-            starts, ends, runs, sizes = [], [], [], []
+            starts, ends, firsts, seconds, sizes = [], [], [], [], []
             for text in texts_of(batch):
                 found = sentences(text)
-                starts.append([a for a, _, _ in found])
-                ends.append([b for _, b, _ in found])
-                parts = [s for _, _, s in found]
-                more, size = word_runs(parts, least_words) if least_words else (np.zeros(0, np.uint64), [])
-                runs.append(np.concatenate([run_hashes(parts, span), more]).view(np.int64))
-                sizes.append(size)
-            ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
-            columns = [pa.array(range(made, made + batch.num_rows), pa.int64()), batch.column("doc_id"), pa.array(starts, ints), pa.array(ends, ints), pa.array(runs, longs), pa.array(sizes, ints)]
+                starts.append(np.array([a for a, _, _ in found], dtype=np.int32))
+                ends.append(np.array([b for _, b, _ in found], dtype=np.int32))
+                for column, x in zip((firsts, seconds, sizes), runs_of([s for _, _, s in found], span, least_words)):
+                    column.append(x.view(np.int64))
+            a, b = _lists(firsts, pa.int64()), _lists(seconds, pa.int64())
+            runs = pa.ListArray.from_arrays(a.offsets, pa.StructArray.from_arrays([a.values, b.values], ["a", "b"]))
+            columns = [pa.array(range(made, made + batch.num_rows), pa.int64()), batch.column("doc_id"), _lists(starts, pa.int32()), _lists(ends, pa.int32()), runs, _lists(sizes, pa.int32())]
             made += batch.num_rows
             names = ["row", "doc_id", "starts", "ends", "runs", "sizes"]
             yield pa.RecordBatch.from_arrays(columns + [batch.column("text")] * keep_text, names + ["text"] * keep_text)
 
-    return split
+    return trimmed(split)
 
 
-def _removed(rows: DataFrame) -> DataFrame:
-    """(row, ats): numbers of a row's runs that are non-first repeated ones.
+def _repeated(rows: DataFrame) -> DataFrame:
+    """(row, later, others): numbers of a row's repeated runs that aren't the first one, and of those that other rows have.
 
     A run's first occurrence is the one with the least id (none last), row and place. Counts and first occurrences are
     summed up before the shuffle; runs that more than one in 10,000 occurrences are of are broadcast.
     """
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"), F.col("at"))
-    places = rows.select("row", "doc_id", F.posexplode("runs").alias("at", "h"))
-    groups = places.groupBy("h").agg(F.min(order).alias("first"), F.count("*").alias("c")).filter("c > 1")
-    groups = cut(groups.select("h", F.col("first.row").alias("row0"), F.col("first.at").alias("at0"), "c"))
+    places = rows.select("row", "doc_id", "sizes", F.posexplode("runs").alias("at", "run")).filter(F.get("sizes", F.col("at")) > 0).select("row", "doc_id", "at", "run.*")
+    groups = places.groupBy("a", "b").agg(F.min(order).alias("first"), F.count("*").alias("c"), F.min("row").alias("r0"), F.max("row").alias("r1")).filter("c > 1")
+    groups = cut(groups.select("a", "b", F.col("first.row").alias("row0"), F.col("first.at").alias("at0"), "c", (F.col("r0") < F.col("r1")).alias("shared")))
     total = rows.agg(F.sum(F.size("runs"))).first()[0] or 0
-    met = skew_safe_join(places.select("row", "at", "h"), groups, "h", "c", total)
-    later = met.filter("row0 is not null and not (row = row0 and at = at0)")
-    return later.groupBy("row").agg(F.collect_set("at").alias("ats"))
+    met = skew_safe_join(places.select("row", "at", "a", "b"), groups, ["a", "b"], "c", total).filter("row0 is not null")
+    later = F.when(~((F.col("row") == F.col("row0")) & (F.col("at") == F.col("at0"))), F.col("at"))
+    return met.groupBy("row").agg(F.collect_set(later).alias("later"), F.collect_set(F.when(F.col("shared"), F.col("at"))).alias("others"))
 
 
-def repeated_sentences(df: DataFrame, span: int = 3, id_col: str = "doc_id", text_col: str = "text", least_words: int | None = None) -> DataFrame:
-    """One row per row of ``df``: doc_id, n_sentences, removed (numbers from 0), spans (start and end in code points).
+def repeated_sentences(df: DataFrame, span: int = 2, least_words: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``df``: doc_id, n_sentences, removed, shared (numbers from 0), spans (of removed, in code points).
 
-    Every run of ``span`` consecutive sentences (all of a text that has fewer) is compared with those of all rows by
-    a 64-bit hash of the sentences with single spaces; sentences in any but a run's first occurrence are removed.
-    With ``least_words``, so is every run of consecutive sentences, also a single one, that just reaches so many words.
-    Null texts count as empty and have no sentences. Repeated rows, also with the same id, are rows of their own of
-    which one is first. Rows without an id come last. Other columns are ignored; an empty table gives no rows.
+    From every sentence on, the shortest run of consecutive sentences that are ``span`` at least and have
+    ``least_words`` words (or the sentence alone, if it has twice as many) is compared with those of all rows by 128
+    bits of a hash of the sentences with single spaces. Sentences in any but a run's first occurrence are removed;
+    shared are those in runs that another row has too, the first one's included. Texts of fewer sentences or words have
+    no runs. Null texts count as empty and have no sentences. Repeated rows, also with the same id, are rows of their
+    own of which one is first. Rows without an id come last. Very long texts are one row like any other; columns beside
+    the two are ignored; an empty table gives no rows.
     """
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return _found(cut(rows.mapInArrow(_split(span, least_words, False), ROWS)), span).drop("row")
+    return _found(cut(rows.mapInArrow(_split(span, least_words, False), ROWS))).drop("row")
+
+
+def _found(rows: DataFrame, *more: str) -> DataFrame:
+    both = rows.drop("runs").join(_repeated(rows), "row", "left")
 
+    def covered(ats: str):
+        every = F.flatten(F.transform(F.coalesce(ats, F.array().cast("array<int>")), lambda x: F.sequence(x, x + F.get("sizes", x) - 1)))
+        return F.array_sort(F.array_distinct(every))
 
-def _found(rows: DataFrame, span: int, *more: str) -> DataFrame:
-    first = F.size("runs") - F.size("sizes")  # runs of a number of sentences come before those of a number of words
-    both = rows.withColumn("spans", first).drop("runs").join(_removed(rows), "row", "left")
-    n, k = F.size("starts"), F.col("spans")
-    covered = F.transform("ats", lambda x: F.when(x < k, F.sequence(x, x + span - 1)).otherwise(F.sequence(x - k, x - k + F.get("sizes", x - k) - 1)))
-    every = F.array_sort(F.array_distinct(F.flatten(covered)))
-    removed = F.filter(F.coalesce(every, F.array().cast("array<int>")), lambda x: x < n)
     spans = F.transform("removed", lambda x: F.struct(F.get("starts", x).alias("start"), F.get("ends", x).alias("end")))
-    return both.select("row", "doc_id", n.cast("long").alias("n_sentences"), removed.alias("removed"), *more, "starts", "ends").select("row", "doc_id", "n_sentences", "removed", spans.alias("spans"), *more)
+    shown = both.select("row", "doc_id", F.size("starts").cast("long").alias("n_sentences"), covered("later").alias("removed"), covered("others").alias("shared"), *more, "starts", "ends")
+    return shown.select("row", "doc_id", "n_sentences", "removed", "shared", spans.alias("spans"), *more)
 
 
-def without_repeats(df: DataFrame, span: int = 3, id_col: str = "doc_id", text_col: str = "text", least_words: int | None = None) -> DataFrame:
+def without_repeats(df: DataFrame, span: int = 2, least_words: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of :func:`repeated_sentences` with the text that is left when the removed sentences are taken out."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = _found(staged(rows.mapInArrow(_split(span, least_words, True), ROWS + ", text string"), "sentences"), span, "text")
+    found = _found(staged(rows.mapInArrow(_split(span, least_words, True), ROWS + ", text string"), "sentences"), "text")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in column_batches(batches):
@@ -135,7 +136,6 @@ def without_repeats(df: DataFrame, span: int = 3, id_col: str = "doc_id", text_c
                     left.append(text[at : x["start"]])
                     at = x["end"]
                 out.append(None if text is None else "".join([*left, text[at:]]))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "n_sentences", "removed", "spans")] + [pa.array(out, pa.string())], ["doc_id", "n_sentences", "removed", "spans", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in KEPT] + [pa.array(out, pa.string())], [*KEPT, "text"])
 
-    columns = found.select("doc_id", "n_sentences", "removed", "spans", "text")
-    return columns.mapInArrow(clean, "doc_id bigint, n_sentences bigint, removed array<int>, spans array<struct<start:int,end:int>>, text string")
+    return found.select(*KEPT, "text").mapInArrow(clean, "doc_id bigint, n_sentences bigint, removed array<int>, shared array<int>, spans array<struct<start:int,end:int>>, text string")
