@@ -40,7 +40,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of what is left, in sequences of at most 1024 tokens."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2, batch_bytes=2 << 20)
 
 
 STAGES = [
@@ -55,5 +55,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = common.staged(stage(spark, docs, sf_dir), "".join(c if c.isalnum() else "-" for c in name))
+        mark = common.written()
+        after = common.staged(stage(spark, docs, sf_dir), "".join(c if c.isalnum() else "-" for c in name))
+        common.release(mark, but_last=1)  # what the stage has staged for itself
+        docs = after
     return docs
