@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, bytes_of, column_batches, crc_mod_column, cut, forget, id_marks, marked, partitions, send, skew_safe_join, trimmed, unsend
@@ -77,7 +77,10 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 
 def band_of(n: int, num: int, den: int) -> int:
-    """Bands are a bit wider than the threshold, so rounding can't part partners by more than one band."""
+    """Bands are a bit wider than the threshold, so rounding can't part partners by more than one band; equal sets, as
+    a threshold of 1 asks for, have equal sizes."""
+    if num >= den:
+        return n
     return int(math.log(n) / (math.log(den / num) * 1.001))
 
 
@@ -91,14 +94,17 @@ def bitmap(values: np.ndarray) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8))
 
 
-def node_of(values: np.ndarray) -> tuple[int, bytes]:
+def node_of(values: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set's hash as two signed numbers."""
     digest = hashlib.blake2b(values.tobytes(), digest_size=16).digest()
-    return int.from_bytes(digest[:8], "little", signed=True), digest
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
 #: Nodes of a shingle up to which their pairs are handed on without a look at the bitmaps.
 SMALL = 32
-FACTS = "doc_id bigint, n bigint, node bigint, digest binary, band int, bits binary, prefix array<bigint>"
+#: Nodes of a tile that one task compares with as many others at a time.
+BLOCK = 2048
+FACTS = "doc_id bigint, n bigint, node bigint, more bigint, band int, bits binary, prefix array<bigint>"
 
 
 def _hot_shingles(rows: DataFrame, k: int, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +132,7 @@ def _hot_shingles(rows: DataFrame, k: int, most: int = 1 << 20) -> tuple[np.ndar
     return h[order], c[order]
 
 
-def _facts(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _facts(rows: DataFrame, k: int, num: int, den: int, node_bits: int) -> DataFrame:
     hot_h, hot_c = _hot_shingles(rows, k)
     hot = send(rows.sparkSession, (hot_h, hot_c))
 
@@ -135,27 +141,27 @@ def _facts(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
         make, seen = Shingler(k), set()
         hashes, counts = hot.value
         for batch in column_batches(batches):
-            ns, nodes, digests, bands, bits, prefixes = [], [], [], [], [], []
+            ns, nodes, others, bands, bits, prefixes = [], [], [], [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), bytes_of(batch)):
                 values = make(text)
                 n = len(values)
-                node, digest = node_of(values) if n else (None, None)
+                node, more = node_of(values) if n else (None, None)
                 prefix = signature = None
-                if n and doc_id is not None and digest not in seen:
-                    seen.add(digest)
+                if n and doc_id is not None and (node, more) not in seen:
+                    seen.add((node, more))
                     prefix = _prefix(values, prefix_length(n, num, den), hashes, counts)
                     signature = bitmap(values).tobytes()
                 ns.append(n)
-                nodes.append(node)
-                digests.append(digest)
+                nodes.append(node if node is None or node_bits == 64 else node & (1 << node_bits) - 1)
+                others.append(more)
                 bands.append(band_of(n, num, den) if n else None)
                 bits.append(signature)
                 prefixes.append(prefix)
             if len(seen) > 50_000:
                 seen.clear()
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
-            columns = [pa.array(c, t) for c, t in zip((ns, nodes, digests, bands, bits, prefixes), kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n", "node", "digest", "band", "bits", "prefix"])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+            columns = [pa.array(c, t) for c, t in zip((ns, nodes, others, bands, bits, prefixes), kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n", "node", "more", "band", "bits", "prefix"])
 
     return cut(rows.mapInArrow(trimmed(facts), FACTS))
 
@@ -170,41 +176,72 @@ def _prefix(values: np.ndarray, length: int, hot: np.ndarray, counts: np.ndarray
     return values[:length].view(np.int64)
 
 
-def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (h, band, node): those of shingles with several nodes, with their tile's leader.
+def _nodes(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(facts, nodes): a node number for each distinct set, with its first 64 bits as ``raw``, and nodes' least ids.
 
-    A band's leader is its least node; the first row of a band is paired with the leader of the band before.
+    Sets that have their first 64 bits in common with another (a few pairs among 10^10 sets) get other numbers until
+    all differ.
     """
-    h0, b0, lead, before, last, first = None, None, None, None, None, None
-    out: list[tuple[int, int, int, int]] = []
-    for batch in batches:
-        for h, band, node in zip(batch.column("h").to_pylist(), batch.column("band").to_pylist(), batch.column("node").to_pylist()):
-            if h != h0:
-                h0, b0, lead, before, last = h, band, node, None, node
-                first = (h, band, node, node)  # given out once a second node comes
-                continue
-            if band == b0 and node == last:
-                continue
-            if first:
-                out.append(first)
-                first = None
-            if band != b0:
-                before, lead = (lead if band == b0 + 1 else None), node
-                b0 = band
-                out.append((h, band, node, node if before is None else before))
-            else:
-                out.append((h, band, node, lead))
-            last = node
-        if len(out) > 20_000:
-            yield _tiles(out)
-            out = []
-    if out:
-        yield _tiles(out)
-
-
-def _tiles(out: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["h", "band", "node", "lead"])
+    facts, attempt = facts.withColumn("raw", F.col("node")), 0
+    while True:
+        full = facts.filter("node is not null and doc_id is not null")
+        grouped = full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("more").alias("more"), F.max("more").alias("most"), F.min("raw").alias("raw"))
+        nodes = cut(grouped)
+        clash = nodes.filter("more != most").select(F.col("node").alias("_clash"))
+        if clash.isEmpty():
+            return facts, nodes.drop("most")
+        attempt += 1
+        own = F.when(F.col("_clash").isNull(), F.col("node")).otherwise(F.xxhash64("raw", "more", F.lit(attempt)))
+        facts = cut(facts.join(clash, F.col("node") == F.col("_clash"), "left").withColumn("node", own).drop("_clash"))
+
+
+def _stars(full: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(runs, stars): the nodes of shingles that several have, as (h, band, node), and pairs (a, b) with leaders.
+
+    A tile's leader is its least node; leaders of neighbouring bands are a pair too. Tiles are never gathered: counts
+    and leaders are summed up before the shuffle, and rows of a very common shingle spread by their nodes.
+    """
+    found = full.filter("prefix is not null")
+    tiles = found.select(F.explode("prefix").alias("h"), "band", "node")
+    several = tiles.groupBy("h").agg(F.min("node").alias("n0"), F.max("node").alias("n1"), F.count("*").alias("c"))
+    several = cut(several.filter("n0 < n1").select("h", "c"))
+    total = found.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    runs = cut(skew_safe_join(tiles, several, "h", "c", total).filter("c is not null").select("h", "band", "node").distinct())
+    leaders = runs.groupBy("h", "band").agg(F.min("node").alias("lead"), F.count("*").alias("size"))
+    by = Window.partitionBy("h").orderBy("band")
+    leaders = cut(leaders.withColumn("before", F.when(F.lag("band").over(by) == F.col("band") - 1, F.lag("lead").over(by))))
+    own = skew_safe_join(runs, leaders.select("h", "band", "lead", "size"), ["h", "band"], "size", runs.count()).select("node", "lead")
+    both = own.unionByName(leaders.select(F.col("lead").alias("node"), F.col("before").alias("lead"))).filter("node != lead")
+    return runs, cut(both.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct())
+
+
+def _dealt(runs: DataFrame, sizes: DataFrame, tasks: int) -> DataFrame:
+    """Rows (h, band, node, comp, n, bits) of open tiles in groups (h, at, kind, x, y) that one task compares at once.
+
+    The few nodes of a small shingle are one group, of kind -1. Larger tiles are parted in blocks by a hash of the node,
+    and a group is a pair of blocks: x and y of a tile (kind 0; one block if they are the same) or x of a tile and y
+    of the next band's (kind 1). ``side`` tells a group's two blocks apart.
+    """
+    small = runs.filter(F.col("size") <= SMALL).select("h", F.lit(0).alias("at"), F.lit(-1).alias("kind"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side"), "band", "node", "comp", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("binary").alias("bits"))
+    large, by = runs.filter(F.col("size") > SMALL), Window.partitionBy("h").orderBy("band")
+    blocks = large.groupBy("h", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m"))
+    beside = lambda f, step: F.coalesce(F.when(f("band").over(by) == F.col("band") + step, f("m").over(by)), F.lit(0))
+    blocks = blocks.withColumns({"before": beside(F.lag, -1), "after": beside(F.lead, 1)})
+    own = large.join(blocks, ["h", "band"]).join(sizes, "node").withColumn("i", F.pmod(F.xxhash64("node"), "m").cast("int"))
+
+    def pairs(count: str, key):
+        every = F.when(F.col(count) > 0, F.sequence(F.lit(0), F.col(count) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(every, lambda j: F.struct(*[c.cast("int").alias(n) for n, c in zip(("at", "kind", "x", "y", "side"), key(j))]))
+
+    i, band = F.col("i"), F.col("band")
+    groups = F.concat(
+        pairs("m", lambda j: (band, F.lit(0), F.least(i, j), F.greatest(i, j), F.when(i > j, 1).otherwise(0))),
+        pairs("after", lambda j: (band, F.lit(1), i, j, F.lit(0))),
+        pairs("before", lambda j: (band - 1, F.lit(1), j, i, F.lit(1))),
+    )
+    dealt = own.select("h", "band", "node", "comp", "n", "bits", F.explode(groups).alias("g")).select("h", "g.*", "band", "node", "comp", "n", "bits")
+    key = ["h", "at", "kind", "x", "y"]
+    return small.unionByName(dealt).repartition(tasks, *key).sortWithinPartitions(*key, "band")
 
 
 def _folded(bits: list[bytes], width: int) -> np.ndarray:
@@ -219,14 +256,14 @@ def _folded(bits: list[bytes], width: int) -> np.ndarray:
 
 
 def _unconnected(num: int, den: int, tile: int = 256):
-    """From rows sorted by (h, band): pairs of nodes of neighbouring bands that lie in different components.
+    """From the groups of :func:`_dealt`: pairs of nodes of neighbouring bands that lie in different components.
 
-    Runs of more than SMALL nodes come with sizes and bitmaps, and only pairs within their bounds are handed on.
+    Groups of larger tiles come with sizes and bitmaps, and only pairs within their bounds are handed on.
     """
 
-    def tested(run: list[tuple]) -> Iterator[pa.RecordBatch]:
-        band, node, comp, n = (np.array(c, dtype=np.int64) for c in list(zip(*run))[:4])
-        bits = [x[4] for x in run]
+    def tested(key: tuple, run: list[tuple]) -> Iterator[pa.RecordBatch]:
+        side, band, node, comp, n = (np.array(c, dtype=np.int64) for c in list(zip(*run))[:5])
+        bits, halves = [x[5] for x in run], key[2] == 1 or key[2] == 0 and key[3] != key[4]
         if (comp == comp[0]).all():
             return
         bounded = bits[0] is not None
@@ -236,6 +273,8 @@ def _unconnected(num: int, den: int, tile: int = 256):
                     break
                 a, b = slice(i, i + tile), slice(j, j + tile)
                 fit = (comp[a, None] != comp[None, b]) & (np.abs(band[a, None] - band[None, b]) <= 1)
+                if halves:
+                    fit &= side[a, None] != side[None, b]
                 if i == j:
                     fit &= np.tri(*fit.shape, k=-1, dtype=bool).T
                 if bounded and fit.any():
@@ -253,22 +292,22 @@ def _unconnected(num: int, den: int, tile: int = 256):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], ["a", "b"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h0, run = None, []
+        last, run = None, []
         for batch in batches:
-            for h, *row in zip(*(batch.column(c).to_pylist() for c in ("h", "band", "node", "comp", "n", "bits"))):
-                if h != h0:
+            for *key, side, band, node, comp, n, bits in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != last:
                     if len(run) > 1:
-                        yield from tested(run)
-                    h0, run = h, []
-                run.append(row)
+                        yield from tested(last, run)
+                    last, run = key, []
+                run.append((side, band, node, comp, n, bits))
         if len(run) > 1:
-            yield from tested(run)
+            yield from tested(last, run)
 
     return pairs
 
 
 def _arrays(rows: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(node, hashes) of the documents in ``ids`` (and of a few others that its hashed marks let through)."""
+    """(raw, more, hashes) of the documents in ``ids`` (and of a few others that its hashed marks let through)."""
     marks = send(rows.sparkSession, id_marks(ids))
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,10 +316,11 @@ def _arrays(rows: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             fit = marked(batch.column("doc_id"), marks.value)
             for part in column_batches([batch.filter(pa.array(fit))]):
                 found = [v for v in map(make, bytes_of(part)) if len(v)]
-                columns = [pa.array([node_of(v)[0] for v in found], pa.int64()), pa.array([v.tobytes() for v in found], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "hashes"])
+                keys = [node_of(v) for v in found]
+                columns = [pa.array([x[i] for x in keys], pa.int64()) for i in (0, 1)] + [pa.array([v.tobytes() for v in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["raw", "more", "hashes"])
 
-    return rows.mapInArrow(trimmed(arrays), "node bigint, hashes binary")
+    return rows.mapInArrow(trimmed(arrays), "raw bigint, more bigint, hashes binary")
 
 
 def _bounded(num: int, den: int):
@@ -315,14 +355,17 @@ def _intersected(num: int, den: int):
     return check
 
 
-def _verified(pairs: DataFrame, sizes: DataFrame, nodes: DataFrame, rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, sizes: DataFrame, nodes: DataFrame, rows: DataFrame, k: int, num: int, den: int, node_bits: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold; arrays are made of those alone that pass the bounds."""
     seen = pairs.join(sizes.toDF("a", "na", "xa"), "a").join(sizes.toDF("b", "nb", "xb"), "b")
     close = seen.filter(den * F.least("na", "nb") >= num * F.greatest("na", "nb"))
     left = cut(close.mapInArrow(_bounded(num, den), "a bigint, b bigint"))
     met = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
-    ids = met.join(nodes, "node").select(F.col("rep").alias("doc_id"))
-    arrays = cut(_arrays(rows, ids, k).join(met, "node", "left_semi").dropDuplicates(["node"]))
+    met = cut(met.join(nodes.select("node", "rep", "raw", "more"), "node"))
+    made = _arrays(rows, met.select(F.col("rep").alias("doc_id")), k)
+    whole = F.lit(True) if node_bits == 64 else F.lit(False)
+    found = made.withColumn("raw", F.when(whole, F.col("raw")).otherwise(F.col("raw").bitwiseAND((1 << min(node_bits, 62)) - 1)))
+    arrays = cut(found.join(met, ["raw", "more"]).select("node", "hashes").dropDuplicates(["node"]))
     both = left.join(arrays.toDF("b", "hb"), "b").join(arrays.toDF("a", "ha"), "a")
     return cut(both.mapInArrow(_intersected(num, den), "a bigint, b bigint"))
 
@@ -335,49 +378,40 @@ def _mixed(runs: DataFrame, links: DataFrame) -> DataFrame:
     return marked.join(several.select("h", "size"), "h")
 
 
-def near_components(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_components(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", node_bits: int = 64) -> DataFrame:
     """One row per row of ``df``: doc_id, n_shingles, component_id.
 
     Lower-cases A-Z, takes words between characters of [\\x20\\x09-\\x0D]; a document's set are its distinct ``k``-word
     shingles, or its whole word sequence if it is shorter. Documents link when den * |intersection| >= num * |union|;
     component_id is the smallest id that links reach. Null texts count as empty; empty sets link with nothing. Rows
     without an id have no component and take no part; rows that share an id are one document of several texts: all
-    get one component. Other columns are ignored; an empty table gives no rows.
+    get one component. Very long texts are one set like any other. Other columns are ignored; an empty table gives no
+    rows. ``node_bits`` (64, or up to 62 to try clashes) are what sets are first numbered by; the result doesn't
+    depend on it.
     """
     unsend()
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    facts = _facts(rows, k, num, den)
+    facts, nodes = _nodes(_facts(rows, k, num, den, node_bits))
     full = facts.filter("node is not null and doc_id is not null")
-    grouped = full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("digest").alias("d0"), F.max("digest").alias("d1"))
-    # two sets with the same 64 bits but different 128 bits would have to be told apart by more bits: stop, don't merge
-    sound = F.assert_true(F.col("d0") == F.col("d1"), F.lit("two sets share a 64-bit node")).isNull()
-    nodes = cut(grouped.filter(sound).select("node", "rep", "copies"))
-
-    tiles = full.filter("prefix is not null").select(F.explode("prefix").alias("h"), "band", "node")
-    dealt = tiles.repartition(partitions(df), F.col("h")).sortWithinPartitions("h", "band", "node")
-    runs = cut(dealt.mapInArrow(_leaders, "h bigint, band int, node bigint, lead bigint"))
-
-    stars = cut(runs.filter("node != lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct())
+    runs, stars = _stars(full)
     sizes = full.filter("prefix is not null").join(runs.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "n", "bits")
     sizes = cut(sizes)
-    links = _verified(stars, sizes, nodes, rows, k, num, den)
+    verified = lambda pairs: _verified(pairs, sizes, nodes, rows, k, num, den, node_bits)
+    links = verified(stars)
 
     # other leaders for what is left: two random members of each tile, so large groups of copies become one component
-    mixed = cut(_mixed(runs.select("h", "band", "node"), links))
+    mixed = cut(_mixed(runs, links))
     pick = [F.min_by(F.struct("node", "comp"), F.xxhash64("h", "node", F.lit(seed))) for seed in (1, 2)]
     leaders = mixed.groupBy("h", "band").agg(F.array(*pick).alias("lead"))
     met = mixed.join(leaders, ["h", "band"]).select("node", "comp", F.explode("lead").alias("lead")).filter("comp != lead.comp")
     more = met.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
     more = cut(more.join(stars, ["a", "b"], "left_anti"))
-    links = links.unionByName(_verified(more, sizes, nodes, rows, k, num, den))
+    links = links.unionByName(verified(more))
 
     open_runs = cut(_mixed(mixed.select("h", "band", "node"), links))
-    plain = open_runs.filter(F.col("size") <= SMALL).select("h", "band", "node", "comp", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("binary").alias("bits"))
-    large = open_runs.filter(F.col("size") > SMALL).join(sizes, "node").select("h", "band", "node", "comp", "n", "bits")
-    dealt = plain.unionByName(large).repartition(partitions(df), F.col("h")).sortWithinPartitions("h", "band", "node")
-    rest = dealt.mapInArrow(_unconnected(num, den), "a bigint, b bigint").distinct()
+    rest = _dealt(open_runs, sizes, partitions(df)).mapInArrow(_unconnected(num, den), "a bigint, b bigint").distinct()
     rest = rest.join(stars.unionByName(more), ["a", "b"], "left_anti")
-    links = links.unionByName(_verified(rest, sizes, nodes, rows, k, num, den))
+    links = links.unionByName(verified(rest))
 
     # rows that share an id are one document
     reps = nodes.select("node", "rep")

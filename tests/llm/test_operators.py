@@ -411,6 +411,30 @@ def test_near_components_of_odd_rows(spark, none):
     assert near_join.near_components(none).count() == 0
 
 
+def test_sets_that_share_a_node(spark):
+    rows = near_rows()[:120]
+    found = near_join.near_components(frame(spark, rows).repartition(3), 4, 85, 100, node_bits=3).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in found} == brute_components(rows, 4, 85, 100)
+
+
+def test_threshold_of_one_and_clashing_long_texts(spark):
+    rows = [(1, "a b c d e"), (2, "A b\nc d e"), (3, "a b c d f"), (4, "w " * 200_000), (5, "W " * 100_000), (6, None)]
+    found = near_join.near_components(frame(spark, rows), 4, 100, 100).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in found} == {(1, 2, 1), (2, 2, 1), (3, 2, 3), (4, 1, 4), (5, 1, 4), (6, 0, 6)}
+
+
+def test_large_tiles_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_join, "BLOCK", 40)
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    common = [word() for _ in range(8)]
+    rows = [(i, " ".join(common + [word() for _ in range(rng.randint(0, 5))])) for i in range(600)]
+    twins = [list(common) + [word() for _ in range(12)] for _ in range(20)]
+    rows += [(1000 + 10 * j + i, " ".join(t[:-1] + [word()])) for j, t in enumerate(twins) for i in range(3)]
+    found = near_join.near_components(frame(spark, rows).repartition(3), 2, 70, 100).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in found} == brute_components(rows, 2, 70, 100)
+
+
 def test_components_of_long_paths(spark):
     rows = [(i, i + 1) for i in range(0, 300)] + [(1000, 1001), (1001, 1002), (1002, 1000), (5, 5)]
     found = {r.id: r.root for r in graph.components(spark.createDataFrame(rows, "x long, y long"), "x", "y").collect()}
