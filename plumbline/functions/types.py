@@ -69,9 +69,14 @@ def struct(kind: Column, precision: Column | None = None, scale: Column | None =
     return F.struct(*[v.cast("string" if k in ("kind", "element") else "int").alias(k) for k, v in parts.items()])
 
 
-def _lookup(base: Column, dialect: str) -> Column:
+def _known(base: Column, dialect: str) -> Column:
+    """The kind of a type's name, null for one that the dialect doesn't have."""
     pairs = [F.lit(x) for kind, names in NAMES[dialect].items() for n in names for x in (n, kind)]
-    return F.coalesce(F.create_map(*pairs)[base], F.lit("UNKNOWN"))
+    return F.create_map(*pairs)[base]
+
+
+def _lookup(base: Column, dialect: str) -> Column:
+    return F.coalesce(_known(base, dialect), F.lit("UNKNOWN"))
 
 
 def _number(text: Column) -> Column:
@@ -96,8 +101,7 @@ def normalise(raw: Column, dialect: str = "contract", parity: bool = False) -> C
         kind = _lookup(low, "contract")
         if not parity:
             base = F.trim(F.regexp_replace(F.regexp_replace(low, r"\(.*?\)", ""), r"\s+", " "))
-            for other in ("contract", "postgres", "snowflake", "bigquery"):
-                kind = F.when(kind == "UNKNOWN", _lookup(base, other)).otherwise(kind)
+            kind = F.coalesce(_known(low, "contract"), *[_known(base, d) for d in ("contract", "postgres", "snowflake", "bigquery")], F.lit("UNKNOWN"))
             element = F.regexp_extract(low, r"^array\s*<(.*)>$", 1)
             within = F.when(element != "", _lookup(F.trim(F.regexp_replace(element, r"\(.*?\)", "")), "contract")).otherwise("UNKNOWN")
         else:

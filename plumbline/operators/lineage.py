@@ -80,14 +80,14 @@ def _searched(edges: pa.Table, starts: DataFrame, kind: str) -> DataFrame:
     return starts.select(F.col("start").cast(kind).alias("start")).mapInArrow(search, f"start {kind}, node {kind}, depth int")
 
 
-def upstream(edges: DataFrame, starts: DataFrame) -> DataFrame:
+def upstream(edges: DataFrame, starts: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """The same against the edges' direction."""
-    return downstream(edges.select(F.col("child").alias("parent"), F.col("parent").alias("child")), starts)
+    return downstream(edges.select(F.col("child").alias("parent"), F.col("parent").alias("child")), starts, local_edges)
 
 
-def has_path(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+def has_path(edges: DataFrame, pairs: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """``pairs`` (start, node) with whether a path leads from one to the other."""
-    reached = downstream(edges, pairs.select("start")).select("start", "node", F.lit(True).alias("hit"))
+    reached = downstream(edges, pairs.select("start"), local_edges).select("start", "node", F.lit(True).alias("hit"))
     return pairs.join(reached, ["start", "node"], "left").select("start", "node", F.coalesce("hit", F.lit(False)).alias("path"))
 
 

@@ -156,45 +156,68 @@ def dag_edges(t: Tables) -> DataFrame:
     return part_edges(t)
 
 
-@query(f"WITH {EDGES_SQL} SELECT parent, child FROM e WHERE parent IN (1, 7, 20)")
+@query(f"WITH {EDGES_SQL} SELECT parent, string_agg(CAST(child AS VARCHAR), ',' ORDER BY child) AS children FROM e GROUP BY parent")
 def dag_children(t: Tables) -> DataFrame:
-    return part_edges(t).filter(F.col("parent").isin(1, 7, 20))
+    return part_edges(t).groupBy("parent").agg(F.array_join(F.array_sort(F.collect_list("child")).cast("array<string>"), ",").alias("children"))
 
 
-@query(f"WITH RECURSIVE {EDGES_SQL}, r AS (SELECT parent AS start, child AS node, 1 AS depth FROM e WHERE parent IN (1, 5) UNION ALL SELECT r.start, e.child, r.depth + 1 FROM r JOIN e ON e.parent = r.node) SELECT start, node, CAST(depth AS INTEGER) AS depth FROM r")
+BLAST_SQL = f"WITH RECURSIVE {EDGES_SQL}, r AS (SELECT parent AS start, child AS node, 1 AS depth FROM e UNION ALL SELECT r.start, e.child, r.depth + 1 FROM r JOIN e ON e.parent = r.node) SELECT start, node, CAST(depth AS INTEGER) AS depth FROM r"
+
+
+@query(BLAST_SQL)
 def blast_radius(t: Tables) -> DataFrame:
-    return lineage.downstream(part_edges(t), t.part.filter("p_partkey in (1, 5)").select(F.col("p_partkey").alias("start")))
+    return lineage.downstream(part_edges(t), t.part.select(F.col("p_partkey").alias("start")))
+
+
+@query(BLAST_SQL)
+def blast_radius_rounds(t: Tables) -> DataFrame:
+    """The same by rounds of joins, as a graph of any size is searched."""
+    return lineage.downstream(part_edges(t), t.part.select(F.col("p_partkey").alias("start")), local_edges=0)
 
 
-@query(f"WITH RECURSIVE {EDGES_SQL}, r AS (SELECT child AS start, parent AS node FROM e WHERE child % 50 = 0 UNION ALL SELECT r.start, e.parent FROM r JOIN e ON e.child = r.node) SELECT start, node FROM r")
+UPSTREAM_SQL = f"WITH RECURSIVE {EDGES_SQL}, r AS (SELECT child AS start, parent AS node FROM e WHERE child % 50 = 0 UNION ALL SELECT r.start, e.parent FROM r JOIN e ON e.child = r.node) SELECT start, node FROM r"
+
+
+@query(UPSTREAM_SQL)
 def upstream_closure(t: Tables) -> DataFrame:
     return lineage.upstream(part_edges(t), t.part.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("start"))).select("start", "node")
 
 
+@query(UPSTREAM_SQL)
+def upstream_closure_rounds(t: Tables) -> DataFrame:
+    return lineage.upstream(part_edges(t), t.part.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("start")), local_edges=0).select("start", "node")
+
+
 @query(f"WITH RECURSIVE {EDGES_SQL}, r AS (SELECT parent AS start, child AS node FROM e WHERE parent = 3 UNION ALL SELECT r.start, e.child FROM r JOIN e ON e.parent = r.node) SELECT CAST(3 AS BIGINT) AS start, p_partkey AS node, p_partkey IN (SELECT node FROM r) AS path FROM part")
 def has_path(t: Tables) -> DataFrame:
     return lineage.has_path(part_edges(t), t.part.select(F.lit(3).cast("bigint").alias("start"), F.col("p_partkey").alias("node")))
 
 
-@query(f"WITH RECURSIVE {EDGES_SQL}, r AS (SELECT p_partkey AS node, 0 AS level FROM part WHERE p_partkey NOT IN (SELECT child FROM e) UNION ALL SELECT e.child, r.level + 1 FROM r JOIN e ON e.parent = r.node) SELECT node, CAST(max(level) AS INTEGER) AS level FROM r GROUP BY node")
+LEVELS_SQL = f"WITH RECURSIVE {EDGES_SQL}, r AS (SELECT p_partkey AS node, 0 AS level FROM part WHERE p_partkey NOT IN (SELECT child FROM e) UNION ALL SELECT e.child, r.level + 1 FROM r JOIN e ON e.parent = r.node) SELECT node, CAST(max(level) AS INTEGER) AS level FROM r GROUP BY node"
+
+
+@query(LEVELS_SQL)
 def topo_levels(t: Tables) -> DataFrame:
     return lineage.levels(part_edges(t), t.part.select(F.col("p_partkey").alias("node")))
 
 
-@query("SELECT v.name, min(p_partkey) AS unique_id FROM (VALUES ('1'), ('7')) v(name) JOIN part ON CAST(p_partkey AS VARCHAR) = v.name GROUP BY v.name UNION ALL SELECT p_name, min(p_partkey) FROM part WHERE p_partkey <= 20 AND p_name NOT IN ('1', '7') GROUP BY p_name")
+@query(LEVELS_SQL)
+def topo_levels_rounds(t: Tables) -> DataFrame:
+    return lineage.levels(part_edges(t), t.part.select(F.col("p_partkey").alias("node")), local_edges=0)
+
+
+@query("SELECT p_name AS name, min(p_partkey) AS unique_id FROM part GROUP BY p_name UNION ALL SELECT lpad(CAST(p_partkey AS VARCHAR), 12, '0'), p_partkey FROM part")
 def find_node(t: Tables) -> DataFrame:
-    key = F.col("p_partkey")
-    as_text = t.part.select(key.cast("string").alias("unique_id"), F.lit("model").alias("resource_type"), F.col("p_name").alias("name"))
-    few = as_text.filter("cast(unique_id as bigint) <= 20")
-    names = few.select("name").union(t.spark.createDataFrame([("1",), ("7",)], "name string")).distinct()
-    padded = few.withColumn("unique_id", F.lpad("unique_id", 12, "0")).filter(~F.col("name").isin("1", "7"))
-    found = lineage.find_node(few.filter(F.col("unique_id").isin("1", "7")).unionByName(padded), few.limit(0).select("name", "unique_id"), names)
+    """All names and all ids of the parts, whose ids as text are models' unique ids."""
+    nodes = t.part.select(F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("unique_id"), F.lit("model").alias("resource_type"), F.col("p_name").alias("name"))
+    names = nodes.select("name").union(nodes.select("unique_id")).distinct()
+    found = lineage.find_node(nodes, nodes.limit(0).select("name", "unique_id"), names)
     return found.select("name", F.col("unique_id").cast("bigint").alias("unique_id"))
 
 
-@query(f"WITH RECURSIVE {EDGES_SQL}, r AS (SELECT parent AS start, child AS node FROM e WHERE parent % 40 = 0 UNION ALL SELECT r.start, e.child FROM r JOIN e ON e.parent = r.node), i AS (SELECT start, string_agg(CAST(node AS VARCHAR), ',' ORDER BY node) AS impact FROM r GROUP BY start) SELECT p_partkey AS node, 'CONTRACT_TYPE_MISMATCH' AS code, coalesce(impact, '') AS impact FROM part LEFT JOIN i ON start = p_partkey WHERE p_partkey % 40 = 0")
+@query(f"WITH RECURSIVE {EDGES_SQL}, r AS (SELECT parent AS start, child AS node FROM e UNION ALL SELECT r.start, e.child FROM r JOIN e ON e.parent = r.node), i AS (SELECT start, string_agg(CAST(node AS VARCHAR), ',' ORDER BY node) AS impact FROM r GROUP BY start) SELECT p_partkey AS node, 'CONTRACT_TYPE_MISMATCH' AS code, coalesce(impact, '') AS impact FROM part LEFT JOIN i ON start = p_partkey")
 def impact_attach(t: Tables) -> DataFrame:
-    found = t.part.filter("p_partkey % 40 = 0").select(F.col("p_partkey").alias("node"), F.lit("CONTRACT_TYPE_MISMATCH").alias("code"))
+    found = t.part.select(F.col("p_partkey").alias("node"), F.lit("CONTRACT_TYPE_MISMATCH").alias("code"))
     return lineage.with_impact(found, part_edges(t)).select("node", "code", F.array_join(F.col("impact").cast("array<string>"), ",").alias("impact"))
 
 
@@ -318,10 +341,18 @@ RESULTS_SQL = "r AS (SELECT 'p' || CAST(c_nationkey AS VARCHAR) AS project, c_na
 
 @query(f"WITH {RESULTS_SQL}, g AS (SELECT project, count(*) AS total, count(*) FILTER (WHERE outcome <> 'unsupported') AS supported, count(*) FILTER (WHERE outcome IN ('parsed', 'inferred')) AS ok, count(*) FILTER (WHERE outcome = 'inferred') AS inf, list_sort(list(model) FILTER (WHERE outcome = 'failed'))[1:3] AS f FROM r GROUP BY project) SELECT project, total, supported, CASE WHEN supported > 0 THEN round(100.0 * ok / supported, 4) ELSE 0 END AS parse_rate, CASE WHEN supported > 0 THEN round(100.0 * inf / supported, 4) ELSE 0 END AS inference_rate, coalesce(array_to_string(f, ','), '') AS samples FROM g")
 def compat_rates(t: Tables) -> DataFrame:
+    return compat.rates(compat_results(t), "project").drop("parsed", "inferred").withColumn("samples", F.array_join("samples", ","))
+
+
+def compat_results(t: Tables) -> DataFrame:
     k = F.col("c_custkey")
     outcome = F.when(k % 11 == 0, "unsupported").when(k % 7 == 0, "failed").when(k % 5 == 0, "parsed").otherwise("inferred")
-    rows = t.customer.select(F.concat(F.lit("p"), F.col("c_nationkey").cast("string")).alias("project"), F.col("c_name").alias("model"), outcome.alias("outcome"))
-    return compat.rates(rows, "project").withColumn("samples", F.array_join("samples", ","))
+    return t.customer.select(F.concat(F.lit("p"), F.col("c_nationkey").cast("string")).alias("project"), F.col("c_name").alias("model"), outcome.alias("outcome"))
+
+
+@query(f"WITH {RESULTS_SQL}, g AS (SELECT count(DISTINCT project) AS projects, count(*) AS total, count(*) FILTER (WHERE outcome <> 'unsupported') AS supported, count(*) FILTER (WHERE outcome IN ('parsed', 'inferred')) AS parsed, count(*) FILTER (WHERE outcome = 'inferred') AS inferred FROM r) SELECT *, round(100.0 * parsed / supported, 4) AS parse_rate, round(100.0 * inferred / supported, 4) AS inference_rate FROM g")
+def compat_aggregate(t: Tables) -> DataFrame:
+    return compat.aggregate(compat.rates(compat_results(t), "project"))
 
 
 @query("SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'seed' WHEN 1 THEN 'snapshot' WHEN 2 THEN 'Sources are not models' WHEN 3 THEN 'Tests are not models' WHEN 4 THEN CASE WHEN p_size % 2 = 0 THEN 'ephemeral' ELSE 'sql_model' END WHEN 5 THEN 'Analyses are not models' ELSE 'Unsupported resource type: exposure' END AS model_type FROM part")
@@ -337,13 +368,14 @@ def extract_refs(t: Tables) -> DataFrame:
     return templates.extract_refs(t.nation.select(F.col("n_nationkey").alias("model"), text.alias("sql")), "model", "sql")
 
 
-@query("SELECT n_nationkey AS model, 'select * from db.' || n_name || ' join src.r' || CAST(n_regionkey AS VARCHAR) || ' on {{ ref(''other'') }}' AS sql FROM nation WHERE n_nationkey = 7")
+@query("SELECT p_partkey AS model, 'select * from db.' || CAST(p_partkey AS VARCHAR) || ' join src.r' || CAST(p_size AS VARCHAR) || ' on {{ ref(''other'') }}' AS sql FROM part")
 def replace_refs(t: Tables) -> DataFrame:
-    one = t.nation.filter("n_nationkey = 7")
-    names = one.select("n_name", "n_regionkey").first()  # one row: the targets of a project are metadata
-    text = F.concat(F.lit("select * from {{ ref(\""), "n_name", F.lit("\")}} join {{source( 'raw','r"), F.col("n_regionkey").cast("string"), F.lit("' ) }} on {{ ref('other') }}"))
-    targets = {(names[0],): f"db.{names[0]}", ("raw", f"r{names[1]}"): f"src.r{names[1]}"}
-    return one.select(F.col("n_nationkey").alias("model"), templates.replace_refs(text, targets).alias("sql"))
+    """A model for each part, whose references are found among as many relations."""
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    text = F.concat(F.lit("select * from {{ ref(\""), key, F.lit("\")}} join {{source( 'raw','r"), size, F.lit("' ) }} on {{ ref('other') }}"))
+    relations = t.part.select(F.lit("ref").alias("kind"), F.lit(None).cast("string").alias("source"), key.alias("name"), F.concat(F.lit("db."), key).alias("target"))
+    more = t.part.select(F.lit("source").alias("kind"), F.lit("raw").alias("source"), F.concat(F.lit("r"), size).alias("name"), F.concat(F.lit("src.r"), size).alias("target")).distinct()
+    return templates.replace_all_refs(t.part.select(F.col("p_partkey").alias("model"), text.alias("sql")), relations.unionByName(more))
 
 
 @query("SELECT n_nationkey AS model, n_name AS name, CASE WHEN n_nationkey % 4 <> 0 THEN 'model.p.' || n_name END AS unique_id FROM nation")

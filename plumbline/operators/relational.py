@@ -121,10 +121,9 @@ def join_right(t: Tables) -> DataFrame:
     return t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"), "right").select("s_suppkey", "n_name")
 
 
-@query("SELECT s.s_suppkey, c.c_custkey FROM (SELECT * FROM supplier WHERE s_suppkey <= 40) s FULL JOIN (SELECT * FROM customer WHERE c_custkey BETWEEN 20 AND 90) c ON s.s_suppkey = c.c_custkey")
+@query("SELECT s_suppkey, c_custkey FROM supplier FULL JOIN customer ON s_suppkey = 2 * c_custkey")
 def join_full(t: Tables) -> DataFrame:
-    s, c = t.supplier.filter("s_suppkey <= 40"), t.customer.filter("c_custkey between 20 and 90")
-    return s.join(c, F.col("s_suppkey") == F.col("c_custkey"), "full").select("s_suppkey", "c_custkey")
+    return t.supplier.join(t.customer, F.col("s_suppkey") == 2 * F.col("c_custkey"), "full").select("s_suppkey", "c_custkey")
 
 
 @query("SELECT r_name, n_name FROM region CROSS JOIN nation")
@@ -340,3 +339,57 @@ def unnest(t: Tables) -> DataFrame:
 @query("WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 20) SELECT n FROM r")
 def recursive_cte(t: Tables) -> DataFrame:
     return t.spark.sql("WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 20) SELECT n FROM r")
+
+
+@query("SELECT c_custkey, l.top FROM customer, LATERAL (SELECT max(o_totalprice) AS top FROM orders WHERE o_custkey = c_custkey) l")
+def lateral(t: Tables) -> DataFrame:
+    top = t.orders.groupBy("o_custkey").agg(F.max("o_totalprice").alias("top"))
+    return t.customer.join(top, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", "top")
+
+
+@query("SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus = 'O') AS o, count(*) FILTER (WHERE o_orderstatus = 'P') AS p FROM orders GROUP BY o_orderpriority")
+def pivot(t: Tables) -> DataFrame:
+    wide = t.orders.groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count("o_orderkey"))
+    return wide.select("o_orderpriority", *[F.coalesce(c, F.lit(0)).alias(c.lower()) for c in ("F", "O", "P")])
+
+
+@query("SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
+def except_all(t: Tables) -> DataFrame:
+    return t.customer.select(F.col("c_nationkey").alias("k")).exceptAll(t.supplier.select("s_nationkey"))
+
+
+@query("SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
+def intersect_all(t: Tables) -> DataFrame:
+    return t.customer.select(F.col("c_nationkey").alias("k")).intersectAll(t.supplier.select("s_nationkey"))
+
+
+@query("SELECT n_nationkey AS k FROM nation UNION ALL (SELECT s_nationkey FROM supplier EXCEPT SELECT c_nationkey FROM customer)")
+def parenthesised_set(t: Tables) -> DataFrame:
+    return t.nation.select(F.col("n_nationkey").alias("k")).union(t.supplier.select("s_nationkey").subtract(t.customer.select("c_nationkey")))
+
+
+@query("SELECT o_orderkey, o_orderkey & 12 AS both, o_orderkey | 5 AS some, xor(o_orderkey, 9) AS one, o_orderkey << 2 AS up, regexp_matches(o_orderpriority, '^[12]-') AS urgent FROM orders")
+def bitwise_and_regex(t: Tables) -> DataFrame:
+    k = F.col("o_orderkey")
+    return t.orders.select("o_orderkey", k.bitwiseAND(12).alias("both"), k.bitwiseOR(5).alias("some"), k.bitwiseXOR(9).alias("one"), F.shiftleft("o_orderkey", 2).alias("up"), F.col("o_orderpriority").rlike("^[12]-").alias("urgent"))
+
+
+@query("SELECT n_nationkey, json_extract_string('{\"a\": {\"b\": \"' || n_name || '\"}, \"r\": ' || CAST(n_regionkey AS VARCHAR) || '}', '$.a.b') AS name, CAST(json_extract_string('{\"r\": ' || CAST(n_regionkey AS VARCHAR) || '}', '$.r') AS BIGINT) AS region FROM nation")
+def json_operators(t: Tables) -> DataFrame:
+    text = F.concat(F.lit('{"a": {"b": "'), "n_name", F.lit('"}, "r": '), F.col("n_regionkey").cast("string"), F.lit("}"))
+    return t.nation.select("n_nationkey", F.get_json_object(text, "$.a.b").alias("name"), F.get_json_object(text, "$.r").cast("bigint").alias("region"))
+
+
+@query("SELECT e.event_id, p.event_id AS before FROM events e ASOF LEFT JOIN events p ON e.user_id = p.user_id AND e.event_id > p.event_id")
+def as_of_join(t: Tables) -> DataFrame:
+    """Each event with its user's last one before: rows of both sides in one window, so a hot user sorts but never pairs."""
+    by = Window.partitionBy("user_id").orderBy("event_id")
+    return t.events.select("event_id", F.lag("event_id").over(by).alias("before"))
+
+
+@query("SELECT o_orderkey, p_partkey FROM orders JOIN part ON o_totalprice >= p_partkey * 1000 AND o_totalprice < p_partkey * 1000 + 250")
+def interval_join(t: Tables) -> DataFrame:
+    """Orders within a part's interval; intervals lie in bins of their own width's order, which make it an equi-join."""
+    parts = t.part.select("p_partkey", (F.col("p_partkey") * 1000).alias("lo")).withColumn("bin", F.floor(F.col("lo") / 1000))
+    orders = t.orders.select("o_orderkey", "o_totalprice", F.floor(F.col("o_totalprice") / 1000).alias("bin"))
+    return orders.join(parts, "bin").filter("o_totalprice >= lo and o_totalprice < lo + 250").select("o_orderkey", "p_partkey")

@@ -46,6 +46,32 @@ def replace_refs(text: Column, targets: dict[tuple, str]) -> Column:
     return text
 
 
+#: A reference with one name or a source with two, in quotes of either kind.
+NAME = r"""(?:'[^']*'|"[^"]*")"""
+CALL = rf"""\{{\{{\s*(?:ref\(\s*{NAME}|source\(\s*{NAME}\s*,\s*{NAME})\s*\)\s*\}}\}}"""
+
+
+def replace_all_refs(models: DataFrame, relations: DataFrame) -> DataFrame:
+    """``models`` (model, sql) with references to ``relations`` (kind, source, name, target) replaced; unknown ones stay.
+
+    References are found in all texts at once and joined with the relations, so a project may have any number of both.
+    Texts without references and null texts stay as they are; models that share a name have rows of their own.
+    """
+    rows = models.select(F.monotonically_increasing_id().alias("row"), "model", F.col("sql"))
+    calls = rows.select("row", F.posexplode(F.regexp_extract_all("sql", F.lit(f"({CALL})"), F.lit(1))).alias("at", "call"))
+    names = F.regexp_extract_all("call", F.lit(rf"({NAME})"), F.lit(1))
+    plain = lambda x: F.expr(f"substring({x}, 2, length({x}) - 2)")
+    keys = calls.withColumn("names", names).select("row", "at", "call", F.get("names", F.size("names") - 1).alias("n"), F.when(F.size("names") == 2, F.get("names", F.lit(0))).alias("s"))
+    keys = keys.select("row", "at", "call", plain("n").alias("n"), plain("s").alias("s"))
+    known = relations.groupBy("kind", "source", "name").agg(F.min("target").alias("target"))
+    on = (F.col("n") == F.col("name")) & F.col("s").eqNullSafe(F.col("source")) & (F.col("kind") == F.when(F.col("s").isNull(), "ref").otherwise("source"))
+    met = keys.join(known, on, "left").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("target", "call").alias("text")))).alias("found"))
+    gaps = F.split("sql", CALL)
+    both = F.transform(F.arrays_zip(gaps.alias("gap"), F.col("found").alias("own")), lambda x: F.concat(x["gap"], F.coalesce(x["own"]["text"], F.lit(""))))
+    joined = rows.join(met, "row", "left")
+    return joined.select("model", F.when(F.col("found").isNull(), F.col("sql")).otherwise(F.array_join(both, "")).alias("sql"))
+
+
 class RenderError(ValueError):
     """A template that can't be rendered; ``code`` is the diagnostic's."""
 

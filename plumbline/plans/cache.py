@@ -23,6 +23,11 @@ class Memo:
         return self.values[key]
 
 
+def downstream_models(memo: Memo, graph_key: str, node: str, search: Callable[[str], list[str]]) -> list[str]:
+    """What ``search`` finds downstream of a node, once for each state of the graph."""
+    return memo.get(f"downstream\x00{graph_key}\x00{node}", lambda: search(node))
+
+
 class TimedMemo:
     """Values that count for ``ttl`` seconds."""
 

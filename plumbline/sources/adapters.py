@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Iterable
 from typing import Protocol
 
@@ -105,19 +107,50 @@ class JdbcAdapter(SparkAdapter):
             raise FetchError(kind_of(e), str(e)) from e
 
 
+def snowflake_options(account: str, user: str, *, password: str | None = None, key_pem: str | None = None, warehouse: str | None = None, role: str | None = None, database: str | None = None) -> tuple[str, dict[str, str]]:
+    """JDBC url and options of a Snowflake connection, by password or by a private key's PEM text, but not both."""
+    if not account or not user or bool(password) == bool(key_pem):
+        raise FetchError("authentication", "an account, a user and either a password or a private key are needed")
+    given = {"user": user, "password": password, "private_key_base64": key_pem and "".join(x for x in key_pem.splitlines() if "-----" not in x), "warehouse": warehouse, "role": role, "db": database}
+    return f"jdbc:snowflake://{account}.snowflakecomputing.com/", {k: v for k, v in given.items() if v}
+
+
+def bigquery_options(project: str, *, key_path: str | None = None, key_json: str | None = None) -> tuple[str, dict[str, str]]:
+    """JDBC url and options of a BigQuery connection: a key file, a key's JSON text, or the machine's default account."""
+    if not project or key_path and key_json:
+        raise FetchError("authentication", "a project and at most one of a key's path and a key's text are needed")
+    url = "jdbc:bigquery://https://www.googleapis.com/bigquery/v2:443;ProjectId=" + project
+    if key_json:
+        try:
+            mail = json.loads(key_json)["client_email"]
+        except (ValueError, KeyError, TypeError) as e:
+            raise FetchError("authentication", "the key's text isn't a service account's JSON") from e
+        return url, {"OAuthType": "0", "OAuthServiceAcctEmail": mail, "OAuthPvtKey": key_json}
+    return url, {"OAuthType": "0", "OAuthPvtKeyPath": key_path} if key_path else {"OAuthType": "3"}
+
+
+def postgres_options(host: str, database: str, user: str, password: str | None = None, port: int = 5432, ssl: bool = False) -> tuple[str, dict[str, str]]:
+    """JDBC url and options of a Postgres or Redshift connection."""
+    if not host or not database or not user:
+        raise FetchError("authentication", "a host, a database and a user are needed")
+    given = {"user": user, "password": password, "ssl": "true" if ssl else None, "sslmode": "verify-full" if ssl else None}
+    return f"jdbc:postgresql://{host}:{port}/{database}", {k: v for k, v in given.items() if v}
+
+
 class MockAdapter:
     """Given schemas and errors, for tests."""
 
     name = "mock"
 
-    def __init__(self, schemas: dict[str, T.StructType] | None = None, errors: dict[str, FetchError] | None = None, down: bool = False):
-        self.schemas, self.errors, self.down = dict(schemas or {}), dict(errors or {}), down
+    def __init__(self, schemas: dict[str, T.StructType] | None = None, errors: dict[str, FetchError] | None = None, down: bool = False, latency: float = 0.0):
+        self.schemas, self.errors, self.down, self.latency = dict(schemas or {}), dict(errors or {}), down, latency
 
     def with_table(self, table: str, ddl: str) -> MockAdapter:
-        return MockAdapter(self.schemas | {table: T.StructType.fromDDL(ddl)}, self.errors, self.down)
+        return MockAdapter(self.schemas | {table: T.StructType.fromDDL(ddl)}, self.errors, self.down, self.latency)
 
     def fetch_schema(self, table: str) -> T.StructType:
         self.test_connection()
+        time.sleep(self.latency)
         if table in self.errors:
             raise self.errors[table]
         if table not in self.schemas:

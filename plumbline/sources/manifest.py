@@ -36,6 +36,15 @@ class Manifest:
         each = self.raw.select(F.explode("sources").alias("unique_id", "s"))
         return each.select("unique_id", "s.name", "s.source_name", "s.database", "s.schema", F.coalesce("s.identifier", "s.name").alias("identifier"), "s.columns")
 
+    def get_node(self, unique_id: str) -> dict | None:
+        """The node of that id, None if there is none."""
+        found = self.nodes().filter(F.col("unique_id") == unique_id).first()
+        return found.asDict(recursive=True) if found else None
+
+    def get_source(self, unique_id: str) -> dict | None:
+        found = self.sources().filter(F.col("unique_id") == unique_id).first()
+        return found.asDict(recursive=True) if found else None
+
     def edges(self) -> DataFrame:
         from ..operators.lineage import edges_of_maps
 

@@ -1,13 +1,15 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline import cli
 from plumbline.functions import types as L
-from plumbline.operators import diff, lineage, report, sinks, state, templates
-from plumbline.plans.cache import Memo, TimedMemo
-from plumbline.plans.infer import Analyzer, hover
+from plumbline.operators import compat, diff, lineage, report, sinks, state, templates
+from plumbline.plans.cache import Memo, TimedMemo, downstream_models
+from plumbline.plans.infer import Analyzer, alias_map, hover, statements
+from plumbline.sources import adapters
 from plumbline.sources.adapters import FetchError, MockAdapter, ParquetAdapter, columns_frame, fetch_all
 from plumbline.sources.manifest import Manifest
 from plumbline.sources.settings import Settings
@@ -206,3 +208,60 @@ def test_drift_of_project(spark, project):
 
 def test_contract_stub():
     assert "      - name: id\n        data_type: int\n" in sinks.contract_yaml("users", [("id", "int")])
+
+
+def test_inference_degrades(spark):
+    a = Analyzer(spark)
+    a.add("users", "id int, name string")
+    found = a.infer("SELECT id, my_udf(name) AS x, upper(name) AS u FROM users")
+    assert [(n, t["kind"]) for _, n, t, _ in found.columns()] == [("id", "INT"), ("x", "UNKNOWN"), ("u", "STRING")]
+    assert [(d["code"], d["severity"]) for d in found.diagnostics] == [("SQL_INFERENCE_ERROR", "warn")] and "my_udf" in found.diagnostics[0]["message"]
+    assert [n for _, n, t, _ in a.infer("SELECT other(id) + one_more(name) AS y, id FROM users").columns()] == ["y", "id"]
+    many = a.infer("SELECT id FROM users;\nSELECT name FROM users;")
+    assert [n for _, n, *_ in many.columns()] == ["id"] and "2 statements" in many.diagnostics[0]["message"]
+    assert statements("SELECT 1;\n\n;\nSELECT 2") == ["SELECT 1", "SELECT 2"]
+
+
+def test_default_names_and_aliases(spark):
+    a = Analyzer(spark, default_names=True)
+    a.add("users", "id int, name string")
+    names = lambda sql: [n for _, n, *_ in a.infer(sql).columns()]
+    assert names("SELECT id, id + 1, CASE WHEN id > 1 THEN 2 END, 5, NULL, UPPER(name), cast(name AS int), id AS z FROM users") == ["id", "expr", "case_expr", "literal", "null", "upper", "name", "z"]
+    assert names("SELECT name, COUNT(id) FROM users GROUP BY name ORDER BY 2 LIMIT 3") == ["name", "count"]
+    assert alias_map(spark, "SELECT id + 1 AS x, name, upper(name) u FROM users") == {"x": "(id + 1)", "u": "upper(name)"}
+
+
+def test_connection_options():
+    url, options = adapters.snowflake_options("acme", "me", key_pem="-----BEGIN-----\nAB\nCD\n-----END-----", warehouse="w", role="r", database="d")
+    assert url.startswith("jdbc:snowflake://acme.") and options == {"user": "me", "private_key_base64": "ABCD", "warehouse": "w", "role": "r", "db": "d"}
+    assert adapters.snowflake_options("acme", "me", password="p")[1] == {"user": "me", "password": "p"}
+    assert adapters.bigquery_options("p")[1] == {"OAuthType": "3"} and adapters.bigquery_options("p", key_path="/k.json")[1]["OAuthPvtKeyPath"] == "/k.json"
+    assert adapters.bigquery_options("p", key_json='{"client_email": "a@b.c"}')[1]["OAuthServiceAcctEmail"] == "a@b.c"
+    assert adapters.postgres_options("h", "d", "u", ssl=True) == ("jdbc:postgresql://h:5432/d", {"user": "u", "ssl": "true", "sslmode": "verify-full"})
+    for bad in (lambda: adapters.snowflake_options("acme", "me"), lambda: adapters.bigquery_options("p", key_json="[]"), lambda: adapters.bigquery_options("p", key_json="{"), lambda: adapters.postgres_options("", "d", "u")):
+        with pytest.raises(adapters.FetchError) as e:
+            bad()
+        assert e.value.kind == "authentication"
+    slow = adapters.MockAdapter(latency=0.05).with_table("t", "id int")
+    began = time.monotonic()
+    assert slow.fetch_schema("t").names == ["id"] and time.monotonic() - began >= 0.05
+
+
+def test_references_of_a_project(spark):
+    rows = [(i, f"select * from {{{{ ref('m{i}') }}}} join {{{{source(\"s\", 't')}}}} on {{{{ ref('none') }}}}") for i in range(300)] + [(900, None), (901, ""), (902, "select 1"), (900, "{{ ref('m1') }}{{ref(\"m2\")}}")]
+    models = spark.createDataFrame(rows, "model long, sql string")
+    relations = spark.createDataFrame([("ref", None, f"m{i}", f"db.m{i}") for i in range(300)] + [("source", "s", "t", "raw.t$1"), ("ref", None, "t", "wrong")], "kind string, source string, name string, target string")
+    got = sorted((r.model, r.sql or "", r.sql is None) for r in templates.replace_all_refs(models, relations).collect())
+    want = [(i, f"select * from db.m{i} join raw.t$1 on {{{{ ref('none') }}}}", False) for i in range(300)] + [(900, "", True), (901, "", False), (902, "select 1", False), (900, "db.m1db.m2", False)]
+    assert got == sorted(want)
+    assert templates.replace_all_refs(models.limit(0), relations).count() == 0
+
+
+def test_compat_report_and_memo():
+    rows = [{"project": "a", "total": 3, "parse_rate": 50.0, "inference_rate": 25.0, "samples": ["x", "y"]}]
+    text, shown = compat.report(rows, {"projects": 1, "total": 3, "parse_rate": 50.0, "inference_rate": 25.0})
+    assert json.loads(text)["aggregate"]["total"] == 3 and shown.splitlines()[0] == "a: 3 models, parsed 50.0 %, inferred 25.0 % (failed: x, y)"
+    memo, calls = Memo(), []
+    for _ in range(2):
+        assert downstream_models(memo, "g1", "m", lambda n: calls.append(n) or ["k"]) == ["k"]
+    assert calls == ["m"] and memo.hits == 1 and downstream_models(memo, "g2", "m", lambda n: []) == []
