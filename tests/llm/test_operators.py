@@ -356,6 +356,65 @@ def test_class_scores(spark, odd_rows, none):
     assert class_lm.class_scores(none).count() == 0
 
 
+@pytest.mark.parametrize("clustered, common", [(8192, 400_000), (12, 25), (0, 0)])
+def test_class_scores_equal_brute_force(spark, clustered, common):
+    rng = random.Random(14)
+    rows = [(i, " ".join(rng.choice("ab") + str(int(rng.paretovariate(0.7))) for _ in range(rng.randint(0, 40)))) for i in range(300)] + [(None, "a1 b1"), (7, None), (900, "a1 " * 3000)]
+    _, vocabulary, assigned, *_ = class_lm.learned(frame(spark, rows), 2, clustered, common)
+    got = class_lm.class_scores(frame(spark, rows), 2, clustered, common).collect()
+    mod = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10
+    train = [[*words_of(t), None] for i, t in rows if mod(i)]
+    c = collections.Counter(w for ws in train for w in ws)
+    cls = {w.decode(): int(vocabulary.classes[i]) for w, i in vocabulary.index.items()}
+    for r in assigned.collect():
+        assert r.c == c[r.word.decode()] and cls.setdefault(r.word.decode(), r.cls) == r.cls
+    assert set(cls) == set(c) - {None} and all(1 <= k <= class_lm.CLASSES for k in cls.values())
+    least = min([c[w.decode()] for w in vocabulary.index], default=1 << 62)
+    once = collections.Counter(k for w, k in cls.items() if c[w] == 1 and 1 < least)
+    unknown = min(once, key=lambda k: (-once[k], k), default=1)
+    of = lambda w: 0 if w is None else cls.get(w, unknown)
+    n, k = np.zeros((33, 33)), 33
+    for ws in train:
+        for x, y in zip([None, *ws], ws):
+            n[of(x), of(y)] += 1
+    sizes, members = collections.Counter(), collections.Counter(cls.values())
+    for w, x in cls.items():
+        sizes[x] += c[w]
+    single = (n.sum(axis=0) + 0.5) / (n.sum() + 0.5 * k)
+    want = collections.Counter()
+    for i, t in rows:
+        ws, total = [*words_of(t), None], 0.0
+        for x, y in zip([None, *ws], ws):
+            total += math.log10((n[of(x), of(y)] + 10 * single[of(y)]) / (n[of(x)].sum() + 10))
+            total += math.log10((c[y] + 0.1) / (sizes[of(y)] + 0.1 * (members[of(y)] + 1))) if y is not None else 0.0
+        want[i, len(ws), round(total, 5)] += 1
+    assert want == collections.Counter((r.doc_id, r.n_tokens, round(r.score, 5)) for r in got)
+
+
+def test_exchange_and_gains_equal_likelihood():
+    """A move's gain is that of the class bigram likelihood with the word's neighbours in place of each class."""
+    rng = np.random.default_rng(3)
+    pairs = rng.integers(0, 50, (class_lm.ALL, class_lm.ALL))
+    around = rng.integers(0, 4, (5, 2 * class_lm.ALL))
+    big = pairs + 200
+    out = class_lm.exchange(np.arange(1, 6), around, big)
+    n, classes = big.astype(float), np.arange(1, 6)
+    for w in range(5):
+        left, right = around[w, : class_lm.ALL].astype(float), around[w, class_lm.ALL :].astype(float)
+        n[:, classes[w]] -= left
+        n[classes[w], :] -= right
+        np.maximum(n, 0, out=n)
+        best = max(range(1, 33), key=lambda k: sum(left[c] * (math.log((n[c, k] + 0.1) / (n[c].sum() + 1)) - math.log(n[:, k].sum() + 1)) + right[c] * (math.log(n[k, c] + 0.1) - math.log(n[k].sum() + 1)) for c in range(class_lm.ALL)))
+        classes[w] = best
+        n[:, best] += left
+        n[best, :] += right
+    assert out.tolist() == classes.tolist()
+    table = class_lm.gains(big)
+    assert np.allclose((around @ table)[0], [sum(around[0, c] * table[c, k] for c in range(2 * class_lm.ALL)) for k in range(32)])
+    assert math.isclose(table[3, 0], math.log((big[3, 1] + 0.1) / (big[3].sum() + 1)) - math.log(big[:, 1].sum() + 1))
+    assert math.isclose(table[class_lm.ALL + 3, 0], math.log(big[1, 3] + 0.1) - math.log(big[1].sum() + 1))
+
+
 # 7: n-gram Jaccard join
 
 
