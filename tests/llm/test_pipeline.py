@@ -46,3 +46,24 @@ def test_all_queries_are_registered():
 
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in names if re.match(r"op\d+_", x)}
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and long texts, ties, repeated rows and columns with the operators' own names."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, 1, 0), (2, 1, 1), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    leak = "x One two three four five six seven eight nine ten eleven twelve y"
+    base = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, None), (2, ""), (3, base), (3, base), (4, base + " end"), (5, leak), (None, base), (None, None), (6, "long " * 50_000), (7, "a b")]
+    docs = spark.createDataFrame([(i, t, "d", 1, 2, None) for i, t in rows], "doc_id long, text string, digest string, row int, node long, component_id long")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    left = sorted((r.doc_id or 0, r.text or "") for r in docs.collect())
+    assert left == sorted([(1, ""), (3, base), (6, "long " * 50_000), (7, "a b")])
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert {r.doc_id for r in packed.collect()} == {1, 3, 6, 7}
