@@ -1,7 +1,10 @@
 """The corpus pipeline: stages in order, each written as Parquet and reread as the next one's documents.
 
 Every stage works on all that its predecessor kept. All but the last return rows of ``documents`` with all their
-columns; the last returns the packed pieces of what is left.
+columns, whatever those are called; the last returns the packed pieces of what is left. In all stages a null text counts
+as empty, very long texts are handled whole, and an empty table gives an empty one. Rows without an id are scored,
+compared as whole texts and searched like others, but the near join leaves them alone. Repeated rows have one row left
+after exact dedup.
 """
 
 from __future__ import annotations
@@ -22,18 +25,21 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays."""
+    """One row of each group of equal texts stays: the longest, then the smallest id (none last), then one of the ties."""
     return exact_dedup.exact_keep(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest id; five words and a similarity of 0.8."""
+    """One document of each group stays, the one with the smallest id; five words and a similarity of 0.8.
+
+    Texts without words, and rows without an id, are in no group and stay.
+    """
     found = near_join.near_components(docs, k=5, num=80, den=100)
     return common.without_ids(docs, found.filter("component_id <> doc_id"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and blank items match nothing."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontamination.clean(docs, items, rate=0.08)
 
