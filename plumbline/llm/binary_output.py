@@ -4,11 +4,14 @@ A segment holds consecutive documents in ascending id order. Its payload is
 
     magic "PLEF", version, id width in bytes, bits of a low part, 0    4 + 4 bytes
     documents n, ids u, bytes of the low parts, of the high bits       4 x 8 bytes, little endian
-    low parts (n values of l bits), high bits (unary), ids             padded to bytes
+    low parts (n values of l bits), high bits (unary)                  padded to bytes
+    ones before each block of 64 bytes of the high bits                4 bytes each, little endian
+    ids
 
 The n end positions e_0 <= ... <= e_{n-1} = u are split at l = max(0, floor(log2(u / n))) bits: the low parts are
-stored as they are, and bit (e_i >> l) + i of the high bits is set. That takes at most n * (2 + log2(u / n)) bits,
-and ``Segment.select`` finds an end from the high bits' byte counts without a table of 64-bit offsets.
+stored as they are, and bit (e_i >> l) + i of the high bits is set. That takes at most n * (2 + log2(u / n)) bits.
+The stored counts, one for 512 bits, are the select structure: ``Segment.select`` finds the i-th one's block among
+them, its byte by the block's byte counts and its bit by a table, so there is no table of 64-bit offsets.
 
 Segments are rows of a Parquet table in the shared folder, so they are committed by Spark's writer on any store;
 ``export`` writes each payload as a raw file.
@@ -29,9 +32,13 @@ from pyspark.sql import functions as F
 from .common import column_batches, partitions, shared_path
 from .tokens import encoder
 
-MAGIC, HEAD = b"PLEF", struct.Struct("<4sBBBxQQQQ")
+MAGIC, VERSION, HEAD = b"PLEF", 2, struct.Struct("<4sBBBxQQQQ")
 #: Ones in each byte value.
 ONES = np.array([bin(x).count("1") for x in range(256)], dtype=np.int64)
+#: The place of each byte value's k-th one, as far as it has one.
+PLACES = np.array([([k for k in range(8) if x >> k & 1] + [0] * 8)[:8] for x in range(256)], dtype=np.int64)
+#: Bytes of high bits that have one stored count, and ends that are looked up at a time.
+BLOCK, AT_ONCE = 64, 1 << 14
 DOCS = "shard int, seq int, before bigint, doc_ids array<bigint>, n_tokens bigint, payload binary"
 
 
@@ -47,47 +54,58 @@ def pack_ends(ends: np.ndarray) -> tuple[int, bytes, bytes]:
     return low_bits, np.packbits(low.ravel(), bitorder="little").tobytes(), np.packbits(high, bitorder="little").tobytes()
 
 
+def pack_counts(high: bytes) -> np.ndarray:
+    """Ones before each block of the high bits."""
+    ones = ONES[np.frombuffer(high, np.uint8)]
+    blocks = np.add.reduceat(ones, np.arange(0, len(ones), BLOCK)) if len(ones) else ones
+    return np.cumsum(blocks) - blocks
+
+
 def build_segment(docs: list[np.ndarray]) -> bytes:
     """The payload for some documents' ids; ids take two bytes where all of them fit."""
     ids = np.concatenate(docs) if docs else np.zeros(0, "<u4")
     ends = np.cumsum([len(x) for x in docs], dtype=np.int64) if docs else np.zeros(0, np.int64)
     width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
     low_bits, low, high = pack_ends(ends)
-    head = HEAD.pack(MAGIC, 1, width, low_bits, len(docs), len(ids), len(low), len(high))
-    return head + low + high + ids.astype(f"<u{width}").tobytes()
+    head = HEAD.pack(MAGIC, VERSION, width, low_bits, len(docs), len(ids), len(low), len(high))
+    return head + low + high + pack_counts(high).astype("<u4").tobytes() + ids.astype(f"<u{width}").tobytes()
 
 
 class Segment:
-    """Reads a payload: ``select(i)`` is the end of document i, ``ids(i)`` its ids."""
+    """Reads a payload: ``select(i)`` is the end of document i, or of each of an array of them; ``ids(i)`` its ids."""
 
     def __init__(self, payload: bytes):
         magic, version, self.width, self.low_bits, self.n, self.size, n_low, n_high = HEAD.unpack_from(payload)
-        if magic != MAGIC or version != 1:
+        if magic != MAGIC or version != VERSION:
             raise ValueError("not a segment")
-        at = HEAD.size
+        at, blocks = HEAD.size, -(-n_high // BLOCK)
         self.low = np.frombuffer(payload, np.uint8, n_low, at)
         self.high = np.frombuffer(payload, np.uint8, n_high, at + n_low)
-        self.data = np.frombuffer(payload, f"<u{self.width}", self.size, at + n_low + n_high)
-        #: Ones before each block of 64 bytes of the high bits.
-        blocks = np.add.reduceat(ONES[self.high], np.arange(0, n_high, 64)) if n_high else np.zeros(0, np.int64)
-        self.before = np.concatenate([[0], np.cumsum(blocks)])
+        self.before = np.frombuffer(payload, "<u4", blocks, at + n_low + n_high)
+        self.data = np.frombuffer(payload, f"<u{self.width}", self.size, at + n_low + n_high + 4 * blocks)
 
-    def select(self, i: int) -> int:
-        if not 0 <= i < self.n:
+    def select(self, i):
+        wanted = np.atleast_1d(np.asarray(i, dtype=np.int64))
+        if len(wanted) and not (0 <= wanted.min() and wanted.max() < self.n):
             raise IndexError(i)
-        block = int(np.searchsorted(self.before, i, side="right")) - 1
-        bits = np.unpackbits(self.high[64 * block : 64 * block + 64], bitorder="little")
-        place = 512 * block + int(np.flatnonzero(bits)[i - self.before[block]])
-        low, first = 0, i * self.low_bits
-        for k in range(self.low_bits):
-            low |= int(self.low[(first + k) >> 3] >> ((first + k) & 7) & 1) << k
-        return ((place - i) << self.low_bits) | low
-
-    def ends(self) -> np.ndarray:
-        """All ends at once."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n] - np.arange(self.n)
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-        return (ones << self.low_bits) | (bits.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
+        parts = [self._select(wanted[at : at + AT_ONCE]) for at in range(0, len(wanted), AT_ONCE)]
+        found = np.concatenate(parts) if parts else wanted
+        return found if np.ndim(i) else int(found[0])
+
+    def _select(self, i: np.ndarray) -> np.ndarray:
+        block = np.searchsorted(self.before, i, side="right") - 1
+        rest = i - self.before[block]
+        # the byte in which the block's ones exceed what is left, then the bit in it
+        byte = BLOCK * block[:, None] + np.arange(BLOCK)
+        upto = np.cumsum(np.where(byte < len(self.high), ONES[self.high[np.minimum(byte, len(self.high) - 1)]], 0), axis=1)
+        k = (upto <= rest[:, None]).sum(axis=1)
+        rest = rest - np.where(k > 0, upto[np.arange(len(i)), np.maximum(k - 1, 0)], 0)
+        at = BLOCK * block + k
+        value = 8 * at + PLACES[self.high[at], rest] - i
+        for bit in range(self.low_bits - 1, -1, -1):
+            place = i * self.low_bits + bit
+            value = value << 1 | (self.low[place >> 3] >> (place & 7) & 1)
+        return value
 
     def ids(self, i: int) -> np.ndarray:
         return self.data[self.select(i - 1) if i else 0 : self.select(i)]
@@ -170,7 +188,7 @@ def read_tokens(spark, path: str, with_ids: bool = False) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 segment = Segment(batch.column("payload")[i].as_py())
-                ends = segment.ends()
+                ends = segment.select(np.arange(segment.n))
                 starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
                 wide = segment.data.astype("<u4")
                 crc = [zlib.crc32(wide[a:b]) for a, b in zip(starts, ends)]

@@ -73,14 +73,17 @@ def test_elias_fano_round_trip(lengths):
     docs = [np.arange(n, dtype="<u4") + 70_000 * (n % 3 == 0) for n in lengths]
     segment = binary_output.Segment(binary_output.build_segment(docs))
     ends = np.cumsum(lengths, dtype=int).tolist()
-    assert segment.ends().tolist() == ends == [segment.select(i) for i in range(len(docs))]
+    assert segment.select(np.arange(len(docs))).tolist() == ends == [segment.select(i) for i in range(len(docs))]
     assert all((segment.ids(i) == docs[i]).all() for i in range(len(docs)))
+    with pytest.raises(IndexError):
+        segment.select(np.array([0, len(docs)]))
 
 
 def test_boundaries_take_little_space():
     ends = np.cumsum(np.random.default_rng(0).integers(1, 2000, 50_000))
     bits, low, high = binary_output.pack_ends(ends)
-    assert (len(low) + len(high)) * 8 <= len(ends) * (2.1 + math.log2(ends[-1] / len(ends)))
+    counts = 4 * len(binary_output.pack_counts(high))
+    assert (len(low) + len(high) + counts) * 8 <= len(ends) * (2.3 + math.log2(ends[-1] / len(ends)))
 
 
 def test_binary_output(spark, odd_rows, docs, none):
