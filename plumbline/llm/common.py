@@ -220,20 +220,21 @@ def skew_safe_join(facts: DataFrame, groups: DataFrame, key: str | list[str], we
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
-def bitmap(places: DataFrame, size: int) -> np.ndarray:
-    """A bitmap of ``size`` bits, in 64-bit words, in which the places (one column) are set.
+def bitmap(rows: DataFrame, size: int, places: Callable[[pa.RecordBatch], np.ndarray] = lambda batch: batch.column(0).to_numpy()) -> np.ndarray:
+    """A bitmap of ``size`` bits, in 64-bit words, in which the places are set that ``places`` makes of each batch.
 
-    Tasks hand on words and not places, so ``size`` / 64 rows reach the driver at most.
+    Tasks hand on words and not places, so ``size`` / 64 rows reach the driver at most. Places are made in the same
+    function as words: a second one behind it would start a second Python worker for each task, and workers stay.
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.unique(batch.column(0).to_numpy())
+            at = np.unique(places(batch))
             words, first = np.unique(at >> 6, return_index=True)
             bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(at) else at.astype(np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(bits).view(pa.int64())], ["word", "bits"])
 
-    got = places.mapInArrow(partial, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    got = rows.mapInArrow(partial, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     marks = np.zeros(size // 64, dtype=np.uint64)
     marks[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
     return marks
@@ -257,12 +258,7 @@ def id_marks(ids: DataFrame, column: str = "doc_id", most: int = 1 << 27) -> np.
     """
     known = ids.select(F.col(column).cast("long").alias("id")).filter("id is not null")
     size = min(most, max(1 << 16, 1 << (16 * known.count()).bit_length()))
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_mark_places(batch.column(0).to_numpy(), size)))], ["place"])
-
-    return bitmap(known.mapInArrow(places, "place bigint"), size)
+    return bitmap(known, size, lambda batch: np.concatenate(_mark_places(batch.column(0).to_numpy(), size)))
 
 
 def marked(ids: pa.Array, marks: np.ndarray) -> np.ndarray:

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -677,3 +678,16 @@ def test_skew_safe_join_and_ids(spark):
     docs = frame(spark, [(i, "t") for i in range(100)] + [(None, "t")])
     left = common.without_ids(docs, spark.createDataFrame([(3,), (5,), (None,)], "doc_id long"))
     assert left.columns == docs.columns and left.count() == 99 and left.filter("doc_id is null").count() == 1
+
+
+def test_marks_take_one_python_worker_a_task(spark, monkeypatch):
+    """A second Python function behind another in a stage takes a second worker for each task, and workers stay."""
+    ids, plans, kind = [3, 5, -7, 2**62, None, 5], [], type(spark.range(0))
+    to_arrow = kind.toArrow
+    monkeypatch.setattr(kind, "toArrow", lambda self: plans.append(self._jdf.queryExecution().executedPlan().toString()) or to_arrow(self))
+    marks = common.id_marks(spark.createDataFrame([(i,) for i in ids], "doc_id long").repartition(3))
+    assert [plan.count("MapInArrow") for plan in plans] == [1]
+    assert common.marked(pa.array([*ids, 4, 6, 8], pa.int64()), marks).tolist() == [True] * 4 + [False, True] + [False] * 3
+    none = common.id_marks(spark.createDataFrame([(None,)], "doc_id long"))
+    assert not none.any() and not common.marked(pa.array([0, None], pa.int64()), none).any()
+    assert common.bitmap(spark.createDataFrame([(0,), (70,), (70,)], "place long"), 128).tolist() == [1, 64]
